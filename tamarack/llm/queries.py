@@ -4,8 +4,9 @@ are derived from the operators' real outputs."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import pii, quality
 from .sql import ORACLE  # noqa: F401
 
 
@@ -13,9 +14,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    base = F.filter("pii", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter("pii", lambda x: x["base"] & (x["kind"] == kind))).cast("long")
+    counts = (count(kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS)
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *(f"quality.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op6_pii, op10_quality_rules)}
