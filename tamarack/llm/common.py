@@ -159,3 +159,38 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         ends[both] = True
     starts, stops = np.flatnonzero(begins[:n]), np.flatnonzero(ends)
     return starts, stops, np.searchsorted(starts, offsets)
+
+
+def per_process(key: str, make):
+    """make() once in a Python worker's life; functions travel by value, so their modules' globals don't last."""
+    import sys
+
+    store = sys.__dict__.setdefault("_tamarack_per_process", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+def binary_array(parts: list[bytes]):
+    import pyarrow as pa
+
+    return pa.array(parts, pa.binary())
+
+
+class Generations:
+    """A memo of bounded size: two dictionaries, the older one is dropped when the newer one is full."""
+
+    def __init__(self, limit: int):
+        self.limit, self.size, self.new, self.old = limit, 0, {}, {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found, 0)
+        return found
+
+    def put(self, key, value, cost: int = 1) -> None:
+        self.new[key] = value
+        self.size += cost
+        if self.size > self.limit:
+            self.old, self.new, self.size = self.new, {}, 0

@@ -3,10 +3,11 @@ are derived from the operators' real outputs."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality
+from . import bpe, pii, quality, tokenfile
 from .sql import ORACLE  # noqa: F401
 
 
@@ -14,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     base = F.filter("pii", lambda x: x["base"])
@@ -22,9 +29,15 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = tokenfile.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return tokenfile.read(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *(f"quality.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
-QUERIES = {f.__name__: f for f in (op6_pii, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_bpe, op6_pii, op9_token_file, op10_quality_rules)}
