@@ -47,4 +47,19 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from verdict"""
 
 
-ORACLE = {"op10_quality_rules": _op10()}
+#: Four base-32 digits of each five hexadecimal ones.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * g + 1}, 5))::bigint >> {shift}) & 31)::int + 1, 1)"
+    for g in range(8)
+    for shift in (15, 10, 5, 0)
+)
+_OP8 = f"""
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as h from pages),
+k as (select h, max(page_id) as keeper from p group by h)
+select p.page_id, p.n::bigint as payload_bytes, {_BASE32} as payload_digest,
+  case when p.page_id = k.keeper then 'response' else 'revisit' end as record_type,
+  case when p.page_id <> k.keeper then k.keeper end as refers_to
+from p join k using (h)"""
+
+
+ORACLE = {"op8_warc": _OP8, "op10_quality_rules": _op10()}

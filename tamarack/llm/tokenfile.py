@@ -233,7 +233,7 @@ def write(df: DataFrame, path: str, end_id: int = 0, folder: str | None = None,
         for batch in batches:
             if writer is None and batch.num_rows:
                 fs, at = filesystem(where)
-                sink = fs.open_output_stream(at)
+                sink = fs.open_output_stream(at, compression=None)
                 writer = FileWriter(sink, id_bytes)
             docs = batch.column(0).to_pylist()
             for doc, ids in zip(docs, encoder.encode(batch.column(1).to_pylist())):
