@@ -2,7 +2,7 @@
 
 A rolling hash of the bytes before a white space decides whether a text is cut there, so equal passages are
 cut alike wherever they stand. A worker encodes each distinct chunk once and reuses its ids in all documents
-it sees (memo bounded in bytes). Each join is then repaired: a window around it is encoded as a whole and
+it sees (memo bounded in bytes); a new chunk asks the library for its distinct pieces only. Each join is then repaired: a window around it is encoded as a whole and
 must agree with what the two chunks end and begin with; while it doesn't, the window doubles, and at last
 both chunks are encoded as one. Documents are encoded independently: no shuffle.
 
@@ -11,7 +11,11 @@ one chunk; repeated rows are encoded row by row; extra columns are carried along
 names are replaced.
 """
 
+import json
 import os
+import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +30,10 @@ SPARSE = 255  # mask: of the white spaces, one in so many + 1 is a cut
 MEMO_BYTES = 48 << 20
 JOIN = 12  # characters on either side of a join that are encoded again at first
 JOIN_MEMO = 50_000
+MEMO_PIECES = 400_000
+LOT = 1 << 17  # characters that the library gets at once
+#: A fixed value: the pattern of tokenizers that drop white space and never match across it.
+SPACELESS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def load(path: str):
@@ -43,6 +51,83 @@ def load(path: str):
     return per_process(f"tokenizer:{path}", make)
 
 
+# --- pieces: the tokenizer's own split ------------------------------------------------------------------------
+
+#: Characters whose classes all Unicode versions agree on; texts with others go to the library whole.
+_LAST = 0x24F
+_UNSAFE = re.compile(f"[^\\t\\n\\r -~\\xa0-{chr(_LAST)}]")
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(c) for c in map(chr, (*range(0x20, 0x7F), *range(0xA0, _LAST + 1))) if unicodedata.category(c)[0] == kind)
+
+
+def _byte_level() -> re.Pattern:
+    """The split of byte-level vocabularies, over the safe characters."""
+    letters, digits, spaces = _class("L"), _class("N"), "\\t\\n\\r \\xa0"
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{spaces}{letters}{digits}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
+
+
+class PieceEncoder:
+    """Ids by the library, asked once for each distinct piece of a text; the memo is bounded. What a piece is
+    follows from the tokenizer's file: byte-level vocabularies split by their pattern; those that only keep
+    what has no white space in it split at white space. Others, and texts that the split doesn't cover, go to
+    the library whole."""
+
+    def __init__(self, path: str):
+        self.tokenizer = load(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        before, normalizer = told["pre_tokenizer"] or {}, told["normalizer"]
+        special = [x["content"] for x in told["added_tokens"]]
+        steps = [x.get("type") for x in (normalizer or {}).get("normalizers", [normalizer] if normalizer else [])]
+        first = (before.get("pretokenizers") or [{}])[0]
+        self.split, self.covers = None, lambda text: False
+        if normalizer is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
+            self.split = _byte_level().findall
+            self.covers = lambda text: not _UNSAFE.search(text) and not any(s in text for s in special)
+        elif set(steps) <= {"NFC", "Replace", "Lowercase"} and first.get("pattern", {}).get("Regex") == SPACELESS and first.get("behavior") == "Removed" and not any(re.search(r"\s", s) for s in special):
+            self.split = re.compile(r"[^ \t\n\r]+").findall
+            self.covers = lambda text: True
+        self.memo = Generations(MEMO_PIECES)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        covered = [self.covers(t) for t in texts]
+        whole = iter(self.library([t for t, c in zip(texts, covered) if not c]))
+        pieces = [self.split(t) if c else None for t, c in zip(texts, covered)]
+        self._learn(set().union(*(p for p in pieces if p)))
+        known = self.memo.new.__getitem__
+        out = [next(whole) if p is None else b"".join(map(known, p)) for p in pieces]
+        if len(self.memo.new) > self.memo.limit:
+            self.memo.old, self.memo.new = self.memo.new, {}
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        old, new = self.memo.old, self.memo.new
+        missing = [p for p in pieces if p not in new]
+        for p in missing:
+            if (found := old.get(p)) is not None:
+                new[p] = found
+        ask = [p for p in missing if p not in new]
+        new.update(zip(ask, self.library(ask)))
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        """Encoded in small lots: the library holds far more for each token than its id."""
+        out: list[bytes] = []
+        lot, size = [], 0
+        for k, text in enumerate(texts):
+            lot.append(text)
+            size += len(text) + 16
+            if size >= LOT or k == len(texts) - 1:
+                out += [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(lot, add_special_tokens=False)]
+                lot, size = [], 0
+        return out
+
+
+# --- chunks ---------------------------------------------------------------------------------------------------
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chunk boundaries of texts laid end to end, and the index of each text's first one (rows + 1)."""
     spaces = np.flatnonzero((data == 32) | (data == 10))
@@ -56,78 +141,68 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 class ChunkCodec:
     def __init__(self, path: str):
-        self.tokenizer = load(path)
+        self.pieces = PieceEncoder(path)
+        self.tokenizer = self.pieces.tokenizer
         self.chunks = Generations(MEMO_BYTES)
         self.joins = Generations(JOIN_MEMO)
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def _window(self, left: str, right: str, size: int) -> tuple[str, bool]:
         """The text around a join: size characters on both sides, out to white space; whether that is all there is."""
         tail, head = left[_before(left, size) :], right[: _after(right, size)]
         return tail + head, len(tail) == len(left) and len(head) == len(right)
 
-    def _agrees(self, left: str, right: str, a: np.ndarray, b: np.ndarray) -> bool:
-        """Whether some window over the join, encoded as a whole, is what a ends with and b begins with."""
+    def _agrees(self, left: str, right: str, a: bytes, b: bytes) -> bool:
+        """Whether some window over the join, encoded as a whole by the library, is what a ends with and b begins with."""
         size = JOIN
         while True:
             window, whole = self._window(left, right, size)
             found = self.joins.get(window)
             if found is None:
-                found = self._ids([window])[0].tolist()
+                found = self.pieces.library([window])[0]
                 self.joins.put(window, found)
             n = len(found)
-            end, start = a[max(0, len(a) - n) :].tolist(), b[:n].tolist()
-            if any(found[: len(end) - k] == end[k:] and found[len(end) - k :] == start[: n - len(end) + k] for k in range(max(0, len(end) - n), len(end) + 1)):
+            if any(a.endswith(found[:k]) and b.startswith(found[k:]) for k in range(0, n + 1, 4)):
                 return True
             if whole:
                 return False
             size *= 2
 
-    def encode(self, column: pa.Array) -> list[np.ndarray]:
-        """Ids of each text of a string array."""
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of a string array, little-endian unsigned 32-bit."""
         data, offsets = batch_bytes(column)
         every, firsts = cuts(data, offsets)
         raw = data.tobytes()
         bounds = every.tolist()
         keys = [raw[a:b] for a, b in zip(bounds, bounds[1:])]
-        got: dict[bytes, np.ndarray] = {}
-        new: dict[bytes, None] = {}
-        for key in keys:
-            if key not in got and key not in new:
-                found = self.chunks.get(key)
-                if found is None:
-                    new[key] = None
-                else:
-                    got[key] = found
-        for key, ids in zip(new, self._ids([k.decode() for k in new])):
+        got = {key: self.chunks.get(key) for key in dict.fromkeys(keys)}
+        new = [key for key, ids in got.items() if ids is None]
+        for key, ids in zip(new, self.pieces.encode([key.decode() for key in new])):
             got[key] = ids
-            self.chunks.put(key, ids, len(key) + 4 * len(ids) + 200)
+            self.chunks.put(key, ids, len(key) + len(ids) + 200)
+        texts = [key.decode() for key in keys]
         row_of = np.searchsorted(firsts, np.arange(len(keys)), "right")
         pairs = np.flatnonzero(row_of[1:] == row_of[:-1]).tolist()
-        windows = dict.fromkeys(self._window(keys[k].decode(), keys[k + 1].decode(), JOIN)[0] for k in pairs)
+        windows = dict.fromkeys(self._window(texts[k], texts[k + 1], JOIN)[0] for k in pairs)
         windows = [w for w in windows if self.joins.get(w) is None]
-        for window, ids in zip(windows, self._ids(windows)):
-            self.joins.put(window, ids.tolist())
+        for window, ids in zip(windows, self.pieces.library(windows)):
+            self.joins.put(window, ids)
         out = []
         for row in range(len(offsets) - 1):
-            own = keys[firsts[row] : firsts[row + 1]] if offsets[row] < offsets[row + 1] else []
-            parts: list[np.ndarray] = []
+            parts: list[bytes] = []
             last = ""
-            for k, key in enumerate(own):
-                text, ids = key.decode(), got[key]
-                if k and not self._agrees(last, text, parts[-1], ids):
+            for k in range(firsts[row], firsts[row + 1]) if offsets[row] < offsets[row + 1] else ():
+                text, ids = texts[k], got[keys[k]]
+                if parts and not self._agrees(last, text, parts[-1], ids):
                     text = last + text
-                    ids = self._ids([text])[0]
+                    ids = self.pieces.library([text])[0]
                     parts.pop()
                 parts.append(ids)
                 last = text
-            out.append(np.concatenate(parts) if parts else np.zeros(0, np.uint32))
+            out.append(b"".join(parts))
         return out
 
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+    def decode(self, ids: list[bytes]) -> list[str]:
+        return self.tokenizer.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
 
 
 def _before(text: str, size: int) -> int:
@@ -150,7 +225,7 @@ def encode(df: DataFrame, path: str, text: str = "text", decoded: bool = False)
         codec = per_process(f"chunks:{path}", lambda: ChunkCodec(path))
         for column in texts:
             ids = codec.encode(column)
-            found = [binary_array([x.tobytes() for x in ids]), pa.array([len(x) for x in ids], pa.int64())]
+            found = [binary_array(ids), pa.array([len(x) // 4 for x in ids], pa.int64())]
             yield pa.StructArray.from_arrays([*found, pa.array(codec.decode(ids), pa.string())][: 2 + decoded], ["ids", "n_tokens", "decoded"][: 2 + decoded])
 
     names = ["ids", "n_tokens", "decoded"][: 2 + decoded]

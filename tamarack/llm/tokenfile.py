@@ -19,9 +19,7 @@ Defined results: null or empty text has the end id alone; null doc_ids come firs
 ordered by their ids' bytes; extra columns aren't stored.
 """
 
-import re
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,81 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import load
-from .common import Generations, bounded_batches, filesystem, make_dirs, per_process, scratch, stored, text_of
+from .bpe import PieceEncoder
+from .common import bounded_batches, filesystem, make_dirs, per_process, scratch, stored, text_of
 
 FRAME_BYTES = 1 << 20  # of ids, before a frame is closed
 LEVEL = 3
 SEEK, INDEX, FOOTER = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 MANIFEST = "shard int, path string, first_doc long, docs long, tokens long, bytes long"
 _ENTRY = "<qqBIQ"
-MEMO_WORDS = 400_000
-
-
-# --- encoding -------------------------------------------------------------------------------------------------
-
-#: Characters whose classes all Unicode versions agree on; texts with others go to the library whole.
-_LAST = 0x24F
-_UNSAFE = re.compile(f"[^\\t\\n\\r -~\\xa0-{chr(_LAST)}]")
-
-
-def _class(kind: str) -> str:
-    return "".join(re.escape(c) for c in map(chr, (*range(0x20, 0x7F), *range(0xA0, _LAST + 1))) if unicodedata.category(c)[0] == kind)
-
-
-def _splitter() -> re.Pattern:
-    """The byte-level split of the vocabulary, over the safe characters."""
-    letters, digits, spaces = _class("L"), _class("N"), "\\t\\n\\r \\xa0"
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{spaces}{letters}{digits}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
-
-
-class WordEncoder:
-    """Ids by the library, asked once for each distinct piece of its own split; bounded memo."""
-
-    def __init__(self, path: str):
-        import json
-
-        self.tokenizer = load(path)
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        before = told["pre_tokenizer"] or {}
-        self.special = [x["content"] for x in told["added_tokens"]]
-        self.by_word = told["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.split = _splitter().findall
-        self.memo = Generations(MEMO_WORDS)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        plain = [self.by_word and not _UNSAFE.search(t) and not any(s in t for s in self.special) for t in texts]
-        whole = iter(self._library([t for t, p in zip(texts, plain) if not p]))
-        out: list[bytes] = []
-        for text, by_word in zip(texts, plain):
-            if not by_word:
-                out.append(next(whole))
-                continue
-            words = self.split(text)
-            new = self.memo.new
-            missing = [w for w in set(words) if w not in new]
-            if missing:
-                self._learn(missing)
-                new = self.memo.new
-            out.append(b"".join(map(new.__getitem__, words)))
-            if len(new) > self.memo.limit:
-                self.memo.old, self.memo.new = new, {}
-        return out
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        old, new = self.memo.old, self.memo.new
-        ask = []
-        for w in words:
-            if (found := old.get(w)) is not None:
-                new[w] = found
-            else:
-                ask.append(w)
-        new.update(zip(ask, self._library(ask)))
 
 
 # --- one file -------------------------------------------------------------------------------------------------
@@ -225,7 +156,7 @@ def write(df: DataFrame, path: str, end_id: int = 0, folder: str | None = None,
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = per_process(f"words:{path}", lambda: WordEncoder(path))
+        encoder = per_process(f"pieces:{path}", lambda: PieceEncoder(path))
         id_bytes = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
         writer = sink = None
