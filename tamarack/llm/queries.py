@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, pii, quality, tokenfile, warc
+from . import ann, bpe, gam, mixing, pii, quality, tokenfile, warc
 from .sql import ORACLE  # noqa: F401
 
 
@@ -15,6 +15,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = gam.train(docs, _table(spark, sf_dir, "labels"))
+    found = gam.score(docs, model).select("doc_id", gam.held_out().alias("held_out"), "score")
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -54,4 +61,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"quality.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
-QUERIES = {f.__name__: f for f in (op2_ann, op4_bpe, op6_pii, op7_mixing, op8_warc, op9_token_file, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_ann, op4_bpe, op6_pii, op7_mixing, op8_warc, op9_token_file, op10_quality_rules)}
