@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, gam, mixing, pii, quality, tokenfile, warc
+from . import ann, bpe, gam, jaccard, mixing, pii, quality, tokenfile, warc
 from .sql import ORACLE  # noqa: F401
 
 
@@ -32,6 +32,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard.labelled(found).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     base = F.filter("pii", lambda x: x["base"])
@@ -61,4 +66,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"quality.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_ann, op4_bpe, op6_pii, op7_mixing, op8_warc, op9_token_file, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_ann, op4_bpe, op5_jaccard, op6_pii, op7_mixing, op8_warc, op9_token_file, op10_quality_rules)}
