@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, gam, jaccard, mixing, pii, quality, tokenfile, warc
+from . import ann, bpe, gam, jaccard, mixing, pii, quality, suffix, tokenfile, warc
 from .sql import ORACLE  # noqa: F401
 
 
@@ -26,6 +26,11 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True)
@@ -66,4 +71,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"quality.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_ann, op4_bpe, op5_jaccard, op6_pii, op7_mixing, op8_warc, op9_token_file, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_ann, op3_suffix_dedup, op4_bpe, op5_jaccard, op6_pii, op7_mixing, op8_warc, op9_token_file, op10_quality_rules)}
