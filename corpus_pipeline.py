@@ -1,10 +1,15 @@
-"""A training-corpus pipeline over documents, a stage at a time."""
+"""A training-corpus pipeline over documents, stage by stage; each stage works on all that the one before kept.
+
+Every function takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; the last one
+adds the ids, their number and the text they decode to.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.llm import common, quality
+from tamarack.llm import bpe, common, jaccard, mixing, pii, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,8 +17,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked documents the one of least doc_id stays."""
+    return jaccard.dedupe(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each span becomes a marker of its kind."""
+    return pii.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes; documents it doesn't take go."""
+    return mixing.mixed(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, how many, and what they decode to."""
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources to target weights", source_mix),
+    ("BPE encoding and decoding", encoding),
+]
 
+#: SQL can't express the tree's draws or the encoding; tests hold each stage against a plain version instead.
 ORACLE_SQL = None
 
 
@@ -21,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name.split()[0]}")
     return docs
