@@ -7,12 +7,12 @@
    a prefix: two documents that link share at least l of the first n - ceil(0.75 n) + l shingles of each. Every
    document takes the l, of LEVELS, with the least estimated cost: index entries, plus candidates, that is the
    frequencies in the prefix divided by l.
-3. Groups of documents under one prefix shingle are never expanded to all pairs: star rounds link each member to
-   one leader, verified links are contracted to components, groups inside one component drop out. What is left
-   are pairs across components; they must share min(l) prefix shingles, agree in size, and pass a bound on the
+3. Groups of documents under one prefix shingle are never expanded to all pairs: in a few rounds, members of a
+   group are chained, each to the one before in an order of that shingle's own; verified links are contracted to
+   components, and groups inside one component drop out. What is left are pairs across components; they must share min(l) prefix shingles, agree in size, and pass a bound on the
    symmetric difference from parity bitmaps, all exact filters, before their sets are compared.
 
-Nothing is dropped or capped: star rounds only find links earlier; the last step takes all pairs that no
+Nothing is dropped or capped: chains only find links earlier; the last step takes all pairs that no
 component joins yet. Hashes have 64 bits.
 
 Defined results: null or empty text, or one without words, has an empty set and no link; fewer words than five
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import PrefixHash, batch_bytes, mix64, scratch, stored, words_of
@@ -38,7 +38,8 @@ from .parts import Known, bucket_bits, by_part, frequencies, side, stage
 WORDS = 5
 PERCENT = 75
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16)
-STARS = 2
+CHAINS = (8, 4, 2)  # a round each: one in so many shingles' groups is chained
+CHAIN = 1000
 BITMAP = 8  # longs of a parity bitmap
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -192,20 +193,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Found:
 
     alone = (F.col("n") - F.expr("length(tokens) / 8").cast("long")).alias("alone")
     entries = index.select("rid", "n", "level", alone, "bitmap", F.explode("prefix").alias("token"))
-    least_of = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token")
-    entries = stored(entries.join(least_of, "token"), "jaccard-entries")
+    sizes = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    entries = stored(entries.join(sizes, "token"), "jaccard-entries")
     about = ["rid", "n", "level", "alone", "bitmap"]
     links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
     tried = spark.createDataFrame([], "a long, b long")
     open_entries = entries.withColumn("root", F.col("rid"))
-    for k in range(STARS):
-        seeded = F.xxhash64(F.lit(k), "rid")
-        lead = open_entries.groupBy("token").agg(F.min(F.struct(seeded.alias("h"), *about, "root")).alias("lead"))
-        star = open_entries.join(lead, "token").where("root <> lead.root")
-        flat = star.select(*(F.col(c).alias(f"x_{c}") for c in about), *(F.col(f"lead.{c}").alias(f"y_{c}") for c in about))
+    for k, share in enumerate(CHAINS):
+        # Members of some shingles' groups, in an order of each shingle's own, are paired with the one before.
+        some = open_entries.where(F.pmod(F.xxhash64(F.lit(k), "token"), F.lit(share)) == 0)
+        salt = F.pmod(F.xxhash64(F.lit(k), "rid"), F.ceil(F.col("size") / CHAIN))  # so that a hot group is many chains
+        order = Window.partitionBy("token", "salt").orderBy(F.xxhash64(F.lit(k), "token", "rid"), "rid")
+        other = F.lag(F.struct(*about, "root")).over(order)
+        chain = some.withColumn("salt", salt).withColumn("other", other).where("root <> other.root")
+        flat = chain.select(*(F.col(c).alias(f"x_{c}") for c in about), *(F.col(f"other.{c}").alias(f"y_{c}") for c in about))
         pairs = flat.where(_possible("x", "y")).select(F.least("x_rid", "y_rid").alias("a"), F.greatest("x_rid", "y_rid").alias("b")).distinct()
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-star")
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-chain")
         tried = tried.union(pairs)
         links = stored(links.union(_verified(pairs, index)), "jaccard-links")
         roots = stored(components(links), "jaccard-roots")
