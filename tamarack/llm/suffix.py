@@ -35,7 +35,7 @@ from .parts import Known, bucket_bits, by_part, frequencies, side, stage
 
 WINDOW = 50
 ANCHOR = 24
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 6 << 20
 _LOW = 26  # bits for a position in a batch
 
 
