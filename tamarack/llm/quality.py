@@ -132,7 +132,9 @@ def judge(df: DataFrame, rules: Rules = Rules(), text: str = "text", into: str =
 
 def clean(df: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
     """The documents that the rules keep, their failing lines removed. Columns stay; n_chars, if there, follows the text."""
-    judged = judge(df, rules, text, "_quality").where(F.col("_quality.kept")).withColumn(text, F.col("_quality.clean"))
+    # A generator evaluates its input once; a filter over a projected struct would be pushed down and evaluate it again.
+    kept = F.filter(F.array(measures(text_of(text), rules)), lambda m: m["kept"])
+    judged = df.select("*", F.explode(F.transform(kept, lambda m: m["clean"])).alias("_clean")).withColumn(text, F.col("_clean"))
     if "n_chars" in df.columns:
         judged = judged.withColumn("n_chars", F.length(text).cast("long"))
     return judged.select(*df.columns)
