@@ -27,10 +27,11 @@ from .common import Generations, PrefixHash, batch_bytes, binary_array, bounded_
 
 WINDOW = 24  # bytes that the rolling hash looks back
 SPARSE = 255  # mask: of the white spaces, one in so many + 1 is a cut
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 16 << 20
 JOIN = 12  # characters on either side of a join that are encoded again at first
-JOIN_MEMO = 50_000
+JOIN_MEMO = 20_000
 MEMO_PIECES = 400_000
+CHUNK_PIECES = 150_000  # beside chunks
 LOT = 1 << 17  # characters that the library gets at once
 #: A fixed value: the pattern of tokenizers that drop white space and never match across it.
 SPACELESS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -74,7 +75,7 @@ class PieceEncoder:
     what has no white space in it split at white space. Others, and texts that the split doesn't cover, go to
     the library whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO_PIECES):
         self.tokenizer = load(path)
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
@@ -89,7 +90,7 @@ class PieceEncoder:
         elif set(steps) <= {"NFC", "Replace", "Lowercase"} and first.get("pattern", {}).get("Regex") == SPACELESS and first.get("behavior") == "Removed" and not any(re.search(r"\s", s) for s in special):
             self.split = re.compile(r"[^ \t\n\r]+").findall
             self.covers = lambda text: True
-        self.memo = Generations(MEMO_PIECES)
+        self.memo = Generations(memo)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -141,7 +142,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 class ChunkCodec:
     def __init__(self, path: str):
-        self.pieces = PieceEncoder(path)
+        self.pieces = PieceEncoder(path, CHUNK_PIECES)
         self.tokenizer = self.pieces.tokenizer
         self.chunks = Generations(MEMO_BYTES)
         self.joins = Generations(JOIN_MEMO)
