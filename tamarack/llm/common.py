@@ -18,8 +18,8 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes of one Arrow batch handed to Python; bounds a worker's memory whatever the texts' length.
-BATCH_ROWS = 512
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 256
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -46,7 +46,7 @@ def keys(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def frequencies(staged: DataFrame, columns: list[str], tokens: Callable[[pa.RecordBatch], np.ndarray], what: str) -> str:
     """A folder with, for each part, its tokens of two or more rows. tokens(batch) has each token of a row once;
-    columns name what it reads."""
+    columns name what it reads, beside part; a batch is of one part."""
     spark = staged.sparkSession
     bits = bucket_bits(spark)
 

@@ -35,7 +35,7 @@ from .parts import Known, bucket_bits, by_part, frequencies, side, stage
 
 WINDOW = 50
 ANCHOR = 24
-FLUSH_BYTES = 6 << 20
+FLUSH_BYTES = 3 << 20
 _LOW = 26  # bits for a position in a batch
 
 
@@ -242,19 +242,28 @@ def _rows_of(folder: str, part: int) -> np.ndarray:
 
 
 def marks(staged: DataFrame, representatives: str) -> str:
-    """A folder with, for each part, the ranges of its rows' bytes that go."""
+    """A folder with, for each part, the ranges of its rows' bytes that go. representatives: the folder of the
+    rows that take part."""
     spark = staged.sparkSession
     bits = bucket_bits(spark)
     more = bits + 2
+    last: dict[int, np.ndarray] = {}
+
+    def taking_part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        part = _column(batch, "part")[0].as_py()
+        if part not in last:
+            last.clear()
+            last[part] = _rows_of(representatives, part)
+        return batch.filter(pa.array(np.isin(_column(batch, "rid").to_numpy(), last[part])))
 
     def anchors(batch: pa.RecordBatch) -> np.ndarray:
-        data, offsets = batch_bytes(_column(batch, "text"))
+        data, offsets = batch_bytes(_column(taking_part(batch), "text"))
         row, _, _, _, hashes = pieces(data, offsets, PrefixHash(data))
         cut = np.searchsorted(row, np.arange(len(offsets)))
         out = [np.unique(hashes[a:b]) for a, b in zip(cut, cut[1:]) if a < b]
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
-    known = frequencies(staged.where("first"), ["text"], anchors, "suffix-anchors")
+    known = frequencies(staged, ["rid", "text"], anchors, "suffix-anchors")
 
     def flush(part: int, held: list[tuple]) -> pa.RecordBatch:
         rows, docs, starts, lengths, at, hashes, texts = (np.concatenate(x) for x in zip(*held))
@@ -293,7 +302,7 @@ def marks(staged: DataFrame, representatives: str) -> str:
             if held and (own != part or size > FLUSH_BYTES):
                 yield flush(part, held)
                 held, size = [], 0
-            part = own
+            part, batch = own, taking_part(batch)
             data, offsets = batch_bytes(_column(batch, "text"))
             row, start, length, at, hashes = pieces(data, offsets, PrefixHash(data))
             shared = counts.of(hashes) > 1
@@ -328,7 +337,7 @@ def marks(staged: DataFrame, representatives: str) -> str:
                 out_blobs.append(_pack(*(x.astype(np.uint32) for x in merged(rows[own], starts[own] + lo[a:b], starts[own] + hi[a:b]))))
         return pa.table({"part": pa.array(out_parts, pa.int32()), "blob": pa.array(out_blobs, pa.binary())})
 
-    sent = staged.where("first").select("rid", "part", "doc_id", "text").mapInArrow(send, "bucket int, part int, marked boolean, blob binary")
+    sent = staged.select("rid", "part", "doc_id", "text").mapInArrow(send, "bucket int, part int, marked boolean, blob binary")
     path = scratch(spark, "suffix-marks")
     sent.groupBy("bucket").applyInArrow(find, "part int, blob binary").repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
     return path
@@ -349,12 +358,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     representatives = scratch(spark, "suffix-representatives")
     first.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(representatives)
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, own in by_part(batches, lambda p: _rows_of(representatives, p)):
-            yield batch.append_column("first", pa.array(np.isin(_column(batch, "rid").to_numpy(), own)))
-
-    chosen = staged.select("rid", "part", "doc_id", "text").mapInArrow(pick, "rid long, part int, doc_id long, text string, first boolean")
-    folder = marks(chosen, representatives)
+    folder = marks(staged, representatives)
 
     def open_part(part: int):
         found = side(folder, part)
