@@ -1,6 +1 @@
 """Tamarack: text moderation and corpus analytics as Spark plans."""
-
-from pyspark import cloudpickle as _cloudpickle
-
-#: Functions of this package travel to Python workers by value: executors need no copy of it on their path.
-_cloudpickle.register_pickle_by_value(__import__(__name__))
