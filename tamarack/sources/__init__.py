@@ -1,0 +1,15 @@
+"""Inputs: any DataFrame with a text column will do; these read the tables the queries use."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table stored as one Parquet file or folder; Spark's reader prunes columns and pushes filters down."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def texts(spark: SparkSession, *items: str | None) -> DataFrame:
+    """Strings in memory as a table (doc_id, text)."""
+    return spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")
