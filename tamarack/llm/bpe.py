@@ -31,7 +31,7 @@ MEMO_BYTES = 16 << 20
 JOIN = 12  # characters on either side of a join that are encoded again at first
 JOIN_MEMO = 20_000
 MEMO_PIECES = 400_000
-CHUNK_PIECES = 150_000  # beside chunks
+CHUNK_PIECES = 100_000  # beside chunks
 LOT = 1 << 17  # characters that the library gets at once
 #: A fixed value: the pattern of tokenizers that drop white space and never match across it.
 SPACELESS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, filesystem, scratch
 
-FLUSH = 4_000_000  # tokens that a task holds before it sends them
+FLUSH = 1_000_000  # tokens that a task holds before it sends them
 
 
 def stage(df: DataFrame, what: str) -> DataFrame:
