@@ -2,8 +2,7 @@
 
 A corpus has far fewer distinct words than words: occurrences are reduced to forms, each form is looked up once
 per tier, and verdicts go back by an equi-join. Lexicon tables are broadcast only while they are small
-(BROADCAST_ROWS); beyond that Spark joins them by shuffle. Tiers run from cheap to dear, each on what the ones
-before left (anti-joins).
+(BROADCAST_ROWS); beyond that Spark joins them by shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import forms, native
+from ..functions import tables as T
 from ..lexicon import SEVERITIES, Lexicon
 from ..plans.config import Config
 
@@ -43,10 +43,8 @@ class Tables:
         self.partial = make([(p, *own[k]) for p, k in partial.items()], f"pattern string, {entry}")
         self.canonical = make([(w.word.lower(), k) for k, w in enumerate(words)], "word string, ord int")
         self.safe = make([(x,) for x in sorted(lexicon.safe_words({w.language for w in words}) | config.lowered())], "safe string")
-        self.phrases = make(
-            [(forms.normalize(p.phrase), p.phrase, p.language, p.severity, p.category, SEVERITIES.index(p.severity) >= least, len(p.phrase.split())) for p in phrases],
-            f"key string, {entry}, width int",
-        )
+        self.phrase_rows = [(forms.normalize(p.phrase), p.phrase, p.language, p.severity, p.category, SEVERITIES.index(p.severity) >= least, len(p.phrase.split())) for p in phrases]
+        self.phrases = make(self.phrase_rows, f"key string, {entry}, width int")
         self.words = make([(*o[:4], w.partial, len(w.normalized), len(w.aliases)) for o, w in zip(own, words)], "word string, language string, severity string, category string, partial boolean, normalized int, aliases int")
 
     @staticmethod
@@ -60,8 +58,10 @@ def tokens(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def distinct_forms(occurrences: DataFrame, value: str = "value") -> DataFrame:
-    """value and how often it occurs; partial counts are combined before the shuffle."""
-    return occurrences.groupBy(F.lower(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    """value and how often it occurs; partial counts are combined before the shuffle. Forms are few bytes but much
+    work, so they are dealt over a stated number of tasks that adaptive execution doesn't merge."""
+    counted = occurrences.groupBy(F.lower(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.repartition(int(occurrences.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value")
 
 
 def _hit(kind: str, confidence: Column | float) -> list[Column]:
@@ -111,15 +111,17 @@ def fuzzy(found: DataFrame, tables: Tables) -> DataFrame:
 
 
 def cascade(found: DataFrame, tables: Tables) -> DataFrame:
-    """Each form's verdict: tiers in their order, each on what is left."""
-    left, out = not_safe(found, tables), None
+    """Each form's verdict: of the tiers that hit it, the first. Tiers run once each, on all forms: those that an
+    earlier tier has are few, and leaving them out by anti-joins would run the earlier tiers again for every later one."""
+    left = not_safe(found, tables)
     steps = [exact, normalized, partial, *([fuzzy] if tables.config.fuzzy else [])]
-    for k, step in enumerate(steps):
-        hit = step(left, tables)
-        out = hit if out is None else out.unionByName(hit)
-        if k < len(steps) - 1:
-            left = left.join(hit.select("value"), "value", "left_anti")
-    return out
+    every = None
+    for rank, step in enumerate(steps):
+        hit = step(left, tables).withColumn("_rank", F.lit(rank))
+        every = hit if every is None else every.unionByName(hit)
+    columns = [*_ENTRY, "match_type", "confidence"]
+    first = every.groupBy(*found.columns).agg(F.min_by(F.struct(*columns), "_rank").alias("e"))
+    return first.select(*found.columns, *(f"e.{c}" for c in columns))
 
 
 def ngrams(occurrences: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
@@ -134,9 +136,9 @@ def ngrams(occurrences: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
 
 def phrase_hits(df: DataFrame, tables: Tables, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Phrases by their normal form, a document at a time: windows are slices of its own word array, so nothing is
-    shuffled; only windows whose first letters begin a phrase get normalised."""
-    widths = [r[0] for r in tables.phrases.select("width").distinct().collect()]
-    starts = [r[0] for r in tables.phrases.select(F.substring("key", 1, 2)).distinct().collect()]
+    shuffled; a window is only normalised if its first word, where that is in its normal form, begins a phrase's key."""
+    starts = sorted({k[:n] for k, *_ in tables.phrase_rows for n in range(1, len(k) + 1)})
+    widths = sorted({row[-1] for row in tables.phrase_rows})
     rows = df.select(key, native.words(F.lower(text)).alias("_w"))
     windows = F.flatten(F.array(*(_windows(F.col("_w"), n, starts) for n in widths)))
     found = rows.select(key, F.explode(windows).alias("_x")).select(key, F.col("_x.pos").alias("pos"), F.col("_x.phrase").alias("phrase"))
@@ -145,6 +147,8 @@ def phrase_hits(df: DataFrame, tables: Tables, key: str = "doc_id", text: str =
 
 
 def _windows(words: Column, n: int, starts: list[str]) -> Column:
-    places = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("w")))
-    likely = F.filter(places, lambda p: (p["pos"] <= F.size(words) - n) & (F.substring(p["w"], 1, 2).isin(starts) | p["w"].rlike("[^a-z]")))
+    one = {c: to for c, to in T.SINGLES.items() if len(to) == 1 and c.isalnum()}
+    plain = lambda w: F.translate(w, "".join(one), "".join(one.values()))
+    places = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("w"), plain(w).alias("plain")))
+    likely = F.filter(places, lambda p: (p["pos"] <= F.size(words) - n) & (p["plain"].isin(starts) | p["plain"].rlike(r"[^a-z]|ph|vv|(.)\1\1") | F.contains(p["w"], F.lit("13"))))
     return F.transform(likely, lambda p: F.struct(p["pos"].alias("pos"), F.array_join(F.slice(words, p["pos"] + 1, F.lit(n)), " ").alias("phrase")))

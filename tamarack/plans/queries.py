@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import native
 from ..operators import tiers
 from ..operators.moderation import SPAM, SPAM_FACTOR, WEIGHTS, Engine, confusion
-from ..sources import table
+from ..sources import spread, table
 from ..streaming.scan import batch_as_stream
 from .config import Config
 
@@ -21,8 +21,12 @@ def _tables(spark: SparkSession, **config) -> tiers.Tables:
     return tiers.Tables(spark, Engine().lexicon, Config(**config))
 
 
+def _docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(table(spark, d, "documents", *(columns or ("doc_id", "text"))))
+
+
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return tiers.tokens(table(spark, d, "documents"))
+    return tiers.tokens(_docs(spark, d))
 
 
 def _forms(spark: SparkSession, d: str) -> DataFrame:
@@ -38,13 +42,13 @@ def lexicon_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select("lang", F.explode(native.words(F.col("text"))).alias("value"))
+    words = _docs(spark, d, "lang", "text").select("lang", F.explode(native.words(F.col("text"))).alias("value"))
     return words.groupBy("lang").agg(F.count(F.lit(1)).alias("tokens"), F.countDistinct(F.lower("value")).alias("forms"), F.max(F.length("value")).alias("longest"))
 
 
 def token_ngrams(spark: SparkSession, d: str) -> DataFrame:
     """The hundred commonest pairs of neighbours; pairs are made inside each document's own array, so only counts are shuffled."""
-    words = table(spark, d, "documents").select(native.words(F.col("text")).alias("w"))
+    words = _docs(spark, d).select(native.words(F.col("text")).alias("w"))
     pairs = F.filter(F.transform("w", lambda v, i: F.lower(F.concat(v, F.lit(" "), F.get("w", i + 1)))), lambda g: g.isNotNull())
     return words.select(F.explode(pairs).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(100)
 
@@ -99,14 +103,14 @@ def phonetic_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def code_segments(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "documents").select(F.explode(native.segments(F.col("text"))).alias("s")).select(native.strip_edges(F.col("s")).alias("segment")).where(F.col("segment").rlike("[0-9]")).distinct()
+    own = _docs(spark, d).select(F.explode(native.segments(F.col("text"))).alias("s")).select(native.strip_edges(F.col("s")).alias("segment")).where(F.col("segment").rlike("[0-9]")).distinct()
     s = F.col("segment")
     return own.select("segment", native.looks_like_code(s).alias("is_code"), native.is_hex_blob(s).alias("is_hex"), native.has_edge_digits(s).alias("edge_digits"))
 
 
 def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
     """The texts hold no phrase of the starter lexicon, so a word of theirs is made one."""
-    docs = table(spark, d, "documents").withColumn("text", F.replace("text", F.lit("idiot"), F.lit("go to hell")))
+    docs = _docs(spark, d).withColumn("text", F.replace("text", F.lit("idiot"), F.lit("go to hell")))
     return tiers.phrase_hits(docs, _tables(spark))
 
 
@@ -123,7 +127,7 @@ def exact_score(spark: SparkSession, d: str) -> DataFrame:
     terms = hits.groupBy("doc_id", "matched", "severity").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
     of = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("n"))), F.lit(0)).alias(s)
     totals = terms.groupBy("doc_id").agg(F.sum("n").alias("total_matches"), F.count(F.lit(1)).alias("unique_matches"), (F.max("n") >= SPAM).alias("repetition_spam"), F.sum("w").alias("weight"), of("low"), of("medium"), of("high"))
-    docs = table(spark, d, "documents").select("doc_id", F.size(native.words(F.col("text"))).alias("tokens"))
+    docs = _docs(spark, d).select("doc_id", F.size(native.words(F.col("text"))).alias("tokens"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     spam = F.coalesce("repetition_spam", F.lit(False))
     toxicity = F.least(F.lit(1.0), F.coalesce("weight", F.lit(0.0)) / F.greatest(F.col("tokens"), F.lit(1)) * F.when(spam, SPAM_FACTOR).otherwise(1.0))
@@ -182,29 +186,29 @@ def benchmark_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, d: str) -> DataFrame:
-    return Engine().detect(table(spark, d, "documents").select("doc_id", "text"))
+    return Engine().detect(_docs(spark, d))
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    found = Engine().score(table(spark, d, "documents").select("doc_id", "text"))
+    found = Engine().score(_docs(spark, d))
     return found.select("doc_id", F.round("toxicity", 6).alias("toxicity"), F.map_entries("categories").alias("categories"), "severities", "repetition_spam", "unique_matches", "total_matches", "text_over_limit")
 
 
 def censored(spark: SparkSession, d: str) -> DataFrame:
-    return Engine().censor(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "censored")
+    return Engine().censor(_docs(spark, d)).select("doc_id", "censored")
 
 
 def clean_flags(spark: SparkSession, d: str) -> DataFrame:
-    return Engine().is_clean(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "is_clean")
+    return Engine().is_clean(_docs(spark, d)).select("doc_id", "is_clean")
 
 
 def audit(spark: SparkSession, d: str) -> DataFrame:
-    return Engine().audit(table(spark, d, "documents").select("doc_id", "text"))
+    return Engine().audit(_docs(spark, d))
 
 
 def page_detections(spark: SparkSession, d: str) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
-    return Engine().detect(table(spark, d, "pages").select("page_id", text.alias("text"))).groupBy("matched", "match_type").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("page_id").alias("pages"))
+    return Engine().detect(spread(table(spark, d, "pages", "page_id", "html")).select("page_id", text.alias("text"))).groupBy("matched", "match_type").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("page_id").alias("pages"))
 
 
 def stream_hits_by_window(spark: SparkSession, d: str) -> DataFrame:

@@ -225,6 +225,10 @@ class Scanner:
         self.allowed = None if config.languages is None else set(config.languages)
         self.any_partial = re.compile("|".join(map(re.escape, self.index.partial))) if self.index.partial else None
         self.folded_starts = {f[:1] for f in self.index.folded}
+        self.near: dict[tuple[int, int], list[tuple[int, str]]] = defaultdict(list)
+        for letter, others in self.index.by_first.items():
+            for order, other in enumerate(others):
+                self.near[(ord(letter or "\0"), len(other))].append((order, other))
         self.memo: dict[tuple, tuple | None] = {}
         self.starts: dict[tuple, tuple[bool, bool]] = {}
 
@@ -253,16 +257,21 @@ class Scanner:
         return min(ends, key=lambda x: x[:2])[2] if ends else None
 
     def _nearest(self, word: str, length: int) -> tuple[Word, float] | None:
-        """The most similar canonical word; its entry has to pass, no other is tried."""
-        first, best, threshold = word[:1], (0.0, ""), self.config.threshold
-        near = [(first, 2), (chr(ord(first) - 1), 1), (chr(ord(first) + 1), 1)] if first else []
-        for letter, slack in near:
-            for other in self.index.by_first.get(letter, ()):
-                if abs(len(other) - length) <= slack and forms.may_match(word, other, threshold):
-                    score = 1 - forms.levenshtein(word, other) / max(len(word), len(other))
-                    if score >= threshold and score > best[0]:
-                        best = (score, other)
-        entry = self.index.keys.get(best[1]) if best[1] else None
+        """The most similar canonical word; its entry has to pass, no other is tried. Words of the same first letter
+        go before those of its neighbours, and then in the lexicon's order."""
+        threshold, best = self.config.threshold, (0.0, 0, 0, "")
+        for turn, (step, slack) in enumerate(((0, 2), (-1, 1), (1, 1))):
+            for size in range(length - slack, length + slack + 1):
+                edits = int(max(len(word), size) * (1 - threshold))
+                if abs(len(word) - size) > edits or (step and edits < 2):
+                    continue
+                for order, other in self.near.get((ord(word[0]) + step, size), ()):
+                    if not edits and other != word:
+                        continue
+                    score = 1 - forms.levenshtein(word, other) / max(len(word), size)
+                    if score >= threshold and (score, -turn, -order) > best[:3]:
+                        best = (score, -turn, -order, other)
+        entry = self.index.keys.get(best[3]) if best[3] else None
         return (entry, best[0]) if self._passes(entry) else None
 
     def _verdict(self, value: str, in_word: bool, literal: bool) -> tuple | None:
@@ -303,7 +312,7 @@ class Scanner:
         if self.config.fuzzy:
             plain = forms.normalize(low if in_word else value, later)
             length = len(low) if in_word else len(plain)
-            if length >= 3 and (best := self._nearest(plain, length)):
+            if length >= 3 and plain and (best := self._nearest(plain, length)):
                 return best[0], "fuzzy", best[1]
         return None
 
@@ -326,8 +335,9 @@ class Scanner:
                 hits.append(self._hit(text, t.start, t.end, *v))
         return hits
 
-    def _segments(self, text: str, spans: list[tuple[int, int]], codes: list[bool], blobs: list[bool], words: list[Hit]) -> list[Hit]:
+    def _segments(self, text: str, spans: list[tuple[int, int]], codes: list[bool], blobs: list[bool], words: list[Hit], found: list[Token]) -> list[Hit]:
         hits, at = [], 0
+        whole = {t.start: t for t in found}
         for (start, end), code, blob in zip(spans, codes, blobs):
             while at < len(words) and words[at].end < end:  # words are in order and don't overlap
                 at += 1
@@ -337,6 +347,13 @@ class Scanner:
             value, lead = stripped(value)
             if not value or value.lower() in self.index.safe:
                 continue
+            token = whole.get(start + lead)
+            if token and token.end == start + lead + len(value) and "_" not in (text[token.start - 1 : token.start], text[token.end : token.end + 1]):
+                # The segment is one word: a hit of the word outdoes the segment's; a word without one has none here
+                # either, unless its normal form is another or the whitelist stopped it.
+                low = value.lower()
+                if self.verdict(value, True, token.literal) or (low not in self.white and forms.normalize(value, token.literal) == low and value.isalpha()):
+                    continue
             if cut := _CONTRACTION.fullmatch(value):
                 value = cut[1]
             if v := self.verdict(value, False, forms.keeps_digits(value, code)):
@@ -384,10 +401,14 @@ class Scanner:
 
     def _phrases(self, text: str, found: list[Token]) -> list[Hit]:
         index, hits = self.index, []
-        stream = spoken(found, text)
+        stream: list[Spoken] = []
         place: dict[int, tuple[int, int]] = {}
-        for k, t in enumerate(stream):
-            place[t.source] = (place.get(t.source, (k, k))[0], k)
+
+        def speak() -> None:
+            if not stream:
+                stream.extend(spoken(found, text))
+                for k, t in enumerate(stream):
+                    place[t.source] = (place.get(t.source, (k, k))[0], k)
 
         def accept(entries: list[Phrase], folded: bool, first: int, last: int, start: int, end: int) -> None:
             for p in entries:
@@ -411,7 +432,11 @@ class Scanner:
                 if not entries and wide and may_fold[k]:
                     entries, folded = index.folded.get("".join(script.phrase_fold(t.value) for t in window)), True
                 if entries:
+                    speak()
                     accept(entries, folded, place[k][0], place[k + size - 1][1], window[0].start, window[-1].end)
+        if not any(c in text for c in T.APOSTROPHES) and T.ONE_WORD.keys().isdisjoint({t.value.lower() for t in found}):
+            return hits
+        speak()
         rewritten = [k for k, t in enumerate(stream) if t.rewritten]
         starts = sorted({s for k in rewritten for s in range(max(0, k - index.widest + 1), k + 1)})
         for first in starts:
@@ -446,7 +471,7 @@ class Scanner:
                 at += 1
             t.hexadecimal, t.literal = blobs[at], _DIGIT.search(t.value) is not None and forms.keeps_digits(t.value, codes[at])
         words = self._words(text, found)
-        every = words + self._segments(text, spans, codes, blobs, words)
+        every = words + self._segments(text, spans, codes, blobs, words, found)
         if self.config.phrases and self.index.phrases:
             every += self._phrases(text, found)
         kept, free = [], -1

@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Below so many bytes for each core, an input has too few row groups to keep the cores busy.
+SMALL = 16 << 20
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table stored as one Parquet file or folder; Spark's reader prunes columns and pushes filters down."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A table stored as one Parquet file or folder, or some columns of it; Spark's reader prunes columns and pushes filters down."""
+    found = spark.read.parquet(f"{folder}/{name}.parquet")
+    return found.select(*columns) if columns else found
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input dealt over all cores; larger ones, which have row groups enough, are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and size < cores * SMALL else df
 
 
 def texts(spark: SparkSession, *items: str | None) -> DataFrame:
