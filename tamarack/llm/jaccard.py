@@ -176,12 +176,9 @@ def _verified(pairs: DataFrame, index: DataFrame) -> DataFrame:
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Found:
     """Find all links of docs."""
     spark = docs.sparkSession
-    taken = [c for c in docs.columns if c not in ("rid", "part")]
-    frame = docs.select(*taken)
-    if key != "doc_id":
-        frame = frame.withColumn("doc_id", F.col(key).cast("long"))
-    if text != "text":
-        frame = frame.withColumn("text", F.col(text))
+    others = [c for c in docs.columns if c != text]
+    row = F.struct(*others) if others else F.lit(None).cast("int")
+    frame = docs.select(row.alias("_row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     staged = stage(frame, "jaccard-docs")
     sets = _sets(staged)
     known = frequencies(staged, ["text"], lambda batch: shingles(_text(batch))[0], "jaccard-counts")
@@ -241,4 +238,5 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """docs with one document, that of the least doc_id, of each component."""
     found = join(docs, key, text)
     stays = labelled(found).where("stays").select("rid")
-    return found.staged.join(stays, "rid", "left_semi").select(*docs.columns)
+    kept = found.staged.join(stays, "rid", "left_semi")
+    return kept.select(*(F.col("text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns))

@@ -126,8 +126,8 @@ def mix(df: DataFrame, seed: int = 17, shards: int = 64, key: str = "doc_id", te
     spark = df.sparkSession
     own = ["size", "source_size", "target", "copies", "taken", "places"]
     kept = [c for c in df.columns if c not in own]
-    docs = df.select(*kept, size_of(text).alias("size"), _rank(seed, key, text).alias("_rank"))
-    sized = stored(docs.select(F.col(source).alias("source"), F.col(key).alias("_key"), "_rank", "size"), "mix-sizes")
+    docs = df.select(F.struct(*kept).alias("_row"), F.col(source).cast("string").alias("source"), F.col(key).alias("_key"), size_of(text).alias("size"), _rank(seed, key, text).alias("_rank"))
+    sized = stored(docs.drop("_row"), "mix-sizes")
     sources = sized.select("source").distinct().limit(MAX_SOURCES + 1).count()
     if sources > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -148,20 +148,23 @@ def mix(df: DataFrame, seed: int = 17, shards: int = 64, key: str = "doc_id", te
     last = part.groupBy(F.col("source").alias("_s")).agg(F.max(F.struct("_rank", "_key")).alias("_last"))
     table = table.join(F.broadcast(last), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
-    at = docs.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_source")), "left")
-    once_more = F.get("_extra", block) | ((block == F.col("partial")) & F.coalesce(F.struct(F.col("_rank"), F.col(key).alias("_key")) <= F.col("_last"), F.lit(False)))
+    at = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")), "left")
+    once_more = F.get("_extra", block) | ((block == F.col("partial")) & F.coalesce(F.struct("_rank", "_key") <= F.col("_last"), F.lit(False)))
     copies = F.coalesce(F.col("passes") + once_more.cast("int"), F.lit(0))
     places = F.transform(F.sequence(F.lit(0), F.lit(COPIES - 1)), lambda p: F.get(F.get(F.col("_shards"), p), block))
     return at.select(
-        *kept, "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"),
+        *(F.col("_row")[c].alias(c) for c in kept), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"),
         F.when(copies > 0, F.slice(places, F.lit(1), copies)).otherwise(F.array().cast("array<int>")).alias("places"),
     )
 
 
 def mixed(df: DataFrame, seed: int = 17, shards: int = 64, **names: str) -> DataFrame:
     """The mix itself: a row for each copy taken, with df's columns, dealt to its shard and shuffled there by hash."""
-    found = mix(df, seed, shards, **names)
-    rows = found.select("*", F.posexplode("places").alias("_copy", "_shard"))
+    key = names.get("key", "doc_id")
+    needed = [key, names.get("text", "text"), names.get("source", "source")]
+    found = mix(df.select(F.struct(*df.columns).alias("_doc"), *needed), seed, shards, **names)
+    rows = found.select("_doc", F.posexplode("places").alias("_copy", "_shard"))
     n = max(1, min(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    order = F.xxhash64(F.lit(seed), F.lit("order"), F.col(names.get("key", "doc_id")), F.col("_copy"))
-    return rows.repartition(n, "_shard").sortWithinPartitions("_shard", order).select(*df.columns)
+    order = F.xxhash64(F.lit(seed), F.lit("order"), F.col("_doc")[key], F.col("_copy"))
+    dealt = rows.repartition(n, "_shard").sortWithinPartitions("_shard", order)
+    return dealt.select(*(F.col("_doc")[c].alias(c) for c in df.columns))
