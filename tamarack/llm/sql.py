@@ -62,4 +62,18 @@ select p.page_id, p.n::bigint as payload_bytes, {_BASE32} as payload_digest,
 from p join k using (h)"""
 
 
-ORACLE = {"op8_warc": _OP8, "op10_quality_rules": _op10()}
+#: Every link of whole sets by a join on shingles, then labels passed along links until none gets smaller.
+_OP5 = f"""
+with recursive words as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') as w from documents),
+shingles as (select distinct rid, unnest(case when len(w) >= 5 then [array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s, least(len(w), 5) as k from words),
+sizes as (select rid, count(*) as n from shingles group by rid),
+shared as (select a.rid as a, b.rid as b, count(*) as common from shingles a join shingles b on a.s = b.s and a.k = b.k and a.rid < b.rid group by 1, 2),
+links as (select a, b from shared join sizes x on x.rid = a join sizes y on y.rid = b where 100 * common >= 75 * (x.n + y.n - common)),
+both_ways as (select a, b from links union all select b, a from links),
+reached(rid, other) as (select rid, rid from words union select r.rid, l.b from reached r join both_ways l on l.a = r.other)
+select w.doc_id, coalesce(any_value(z.n), 0)::bigint as n_shingles, min(o.doc_id) as component_id
+from reached r join words w on w.rid = r.rid join words o on o.rid = r.other left join sizes z on z.rid = w.rid group by w.rid, w.doc_id"""
+
+
+ORACLE = {"op5_jaccard": _OP5, "op8_warc": _OP8, "op10_quality_rules": _op10()}
