@@ -30,8 +30,8 @@ SPARSE = 255  # mask: of the white spaces, one in so many + 1 is a cut
 MEMO_BYTES = 16 << 20
 JOIN = 12  # characters on either side of a join that are encoded again at first
 JOIN_MEMO = 20_000
-MEMO_PIECES = 400_000
-CHUNK_PIECES = 100_000  # beside chunks
+MEMO_PIECES = 700_000
+CHUNK_PIECES = 180_000  # beside chunks
 LOT = 1 << 17  # characters that the library gets at once
 #: A fixed value: the pattern of tokenizers that drop white space and never match across it.
 SPACELESS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -69,6 +69,13 @@ def _byte_level() -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{spaces}{letters}{digits}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it prints, others from U+0100 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b if b in prints else next(others)) for b in range(256)}
+
+
 class PieceEncoder:
     """Ids by the library, asked once for each distinct piece of a text; the memo is bounded. What a piece is
     follows from the tokenizer's file: byte-level vocabularies split by their pattern; those that only keep
@@ -83,9 +90,10 @@ class PieceEncoder:
         special = [x["content"] for x in told["added_tokens"]]
         steps = [x.get("type") for x in (normalizer or {}).get("normalizers", [normalizer] if normalizer else [])]
         first = (before.get("pretokenizers") or [{}])[0]
-        self.split, self.covers = None, lambda text: False
+        self.split, self.covers, self.model = None, lambda text: False, None
         if normalizer is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
             self.split = _byte_level().findall
+            self.model, self.table = self.tokenizer.model, _byte_letters()
             self.covers = lambda text: not _UNSAFE.search(text) and not any(s in text for s in special)
         elif set(steps) <= {"NFC", "Replace", "Lowercase"} and first.get("pattern", {}).get("Regex") == SPACELESS and first.get("behavior") == "Removed" and not any(re.search(r"\s", s) for s in special):
             self.split = re.compile(r"[^ \t\n\r]+").findall
@@ -106,12 +114,15 @@ class PieceEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         old, new = self.memo.old, self.memo.new
-        missing = [p for p in pieces if p not in new]
-        for p in missing:
-            if (found := old.get(p)) is not None:
-                new[p] = found
-        ask = [p for p in missing if p not in new]
-        new.update(zip(ask, self.library(ask)))
+        missing = pieces.difference(new)
+        new.update((p, old[p]) for p in missing.intersection(old))
+        ask = list(missing.difference(old))
+        new.update(zip(ask, self._merged(ask) if self.model is not None else self.library(ask)))
+
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        """Of pieces that the byte-level split has made already: the library's model by itself."""
+        tokenize, table = self.model.tokenize, self.table
+        return [array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(table))]).tobytes() for p in pieces]
 
     def library(self, texts: list[str]) -> list[bytes]:
         """Encoded in small lots: the library holds far more for each token than its id."""

@@ -33,7 +33,7 @@ from .bpe import PieceEncoder
 from .common import bounded_batches, filesystem, make_dirs, per_process, scratch, stored, text_of
 
 FRAME_BYTES = 1 << 20  # of ids, before a frame is closed
-LEVEL = 3
+LEVEL = 1
 SEEK, INDEX, FOOTER = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 MANIFEST = "shard int, path string, first_doc long, docs long, tokens long, bytes long"
 _ENTRY = "<qqBIQ"
