@@ -7,6 +7,7 @@ and carry the rest along untouched, unless their docstring says otherwise.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 import numpy as np
@@ -36,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file:///tmp/tamarack-{os.getuid()}"
-    return found.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()  # a path without a scheme is one of the default file system
+    return re.sub("^file:/+", "file:///", whole.rstrip("/"))
 
 
 def scratch(spark: SparkSession, what: str) -> str:
