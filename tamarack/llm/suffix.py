@@ -36,7 +36,7 @@ from .parts import Known, bucket_bits, by_part, frequencies, side, stage
 WINDOW = 50
 ANCHOR = 24
 FLUSH_BYTES = 3 << 20
-_LOW = 26  # bits for a position in a batch
+_LOW = 32  # bits for a position in a batch: texts of up to 4 GB
 
 
 # --- pieces ---------------------------------------------------------------------------------------------------

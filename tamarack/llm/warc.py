@@ -26,7 +26,7 @@ from .common import bounded_batches, filesystem, make_dirs, scratch, stored
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"  # of capture; a parameter of the archive, so that reruns write the same bytes
 MAGIC = b"\x1f\x8b\x08"
-FILE_BYTES = 256 << 20
+FILE_BYTES = 64 << 20
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 GAPS = "path string, start long, end long, reason string"
 
