@@ -7,13 +7,16 @@
    a prefix: two documents that link share at least l of the first n - ceil(0.75 n) + l shingles of each. Every
    document takes the l, of LEVELS, with the least estimated cost: index entries, plus candidates, that is the
    frequencies in the prefix divided by l.
-3. Groups of documents under one prefix shingle are never expanded to all pairs: in a few rounds, members of a
+3. Candidates are pairs of documents under one prefix shingle that share min(l) prefix shingles, agree in size,
+   and pass a bound on the symmetric difference from parity bitmaps, all exact filters; their sets are compared.
+   join() takes all of them and so has every link; a large group is paired block by block, and its pairs grow with
+   the square of its size, as its links may.
+4. connect() is for components alone and leaves out links that can't change them: in a few rounds, members of a
    group are chained, each to the one before in an order of that shingle's own; verified links are contracted to
-   components, and groups inside one component drop out. What is left are pairs across components; they must share min(l) prefix shingles, agree in size, and pass a bound on the
-   symmetric difference from parity bitmaps, all exact filters, before their sets are compared.
+   components, and groups inside one component drop out. Last come all candidates across components.
 
-Nothing is dropped or capped: chains only find links earlier; the last step takes all pairs that no
-component joins yet. Hashes have 64 bits.
+Nothing is capped. join() compares every candidate; connect() only those whose sides no component joins yet, so
+its components are those of join(), its links a part of them. Hashes have 64 bits.
 
 Defined results: null or empty text, or one without words, has an empty set and no link; fewer words than five
 are one shingle; equal doc_ids on several rows are rows of their own, and a component is named by its least
@@ -40,6 +43,8 @@ PERCENT = 75
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16)
 CHAINS = (8, 4, 2)  # a round each: one in so many shingles' groups is chained
 CHAIN = 1000
+BLOCK = 500  # members of a group that a task pairs with as many others
+ABOUT = ("rid", "n", "level", "alone", "bitmap")  # what an entry says of its document
 BITMAP = 8  # longs of a parity bitmap
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -96,7 +101,9 @@ def _level(counts: np.ndarray, n: int, alone: int) -> tuple[int, int]:
 
 @dataclass
 class Found:
-    """sets: rid, doc_id, n, class id; roots: rid of a class's representative to its component's least rid; links: verified pairs of representatives."""
+    """sets: rid, doc_id, n, class id; roots: rid of a class's representative to its component's least rid; links: verified
+    pairs of representatives, all of them from join() and enough for the components from connect(). join() gives classes
+    their number of links, n_links: the classes that a class links with."""
 
     staged: DataFrame
     sets: DataFrame
@@ -173,8 +180,8 @@ def _verified(pairs: DataFrame, index: DataFrame) -> DataFrame:
     return common.where(100 * F.col("common") >= PERCENT * (F.col("a_n") + F.col("b_n") - F.col("common"))).select("a", "b")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Found:
-    """Find all links of docs."""
+def _prepared(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Staged rows, sets, classes, index of representatives and their entries under shared prefix shingles."""
     spark = docs.sparkSession
     others = [c for c in docs.columns if c != text]
     row = F.struct(*others) if others else F.lit(None).cast("int")
@@ -192,7 +199,44 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Found:
     entries = index.select("rid", "n", "level", alone, "bitmap", F.explode("prefix").alias("token"))
     sizes = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     entries = stored(entries.join(sizes, "token"), "jaccard-entries")
-    about = ["rid", "n", "level", "alone", "bitmap"]
+    return staged, sets, classes, index, entries
+
+
+def _candidates(x: DataFrame, y: DataFrame, on: list[str], apart: Column) -> DataFrame:
+    """Pairs (a, b) of entries x and y, columns x_... and y_..., that meet on some keys and pass the exact filters."""
+    met = x.join(y, on).where((F.col("x_rid") < F.col("y_rid")) & apart & _possible("x", "y"))
+    shared = met.groupBy(F.col("x_rid").alias("a"), F.col("y_rid").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.first(F.least("x_level", "y_level")).alias("level"))
+    return shared.where("common >= level").select("a", "b")
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Found:
+    """Find all links of docs."""
+    staged, sets, classes, index, entries = _prepared(docs, key, text)
+    # Two members of a group meet once, under the pair of their blocks, so that a hot group is many tasks.
+    blocks = F.ceil(F.col("size") / BLOCK)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    own = F.pmod(F.xxhash64(F.lit(0), "rid"), blocks)
+    x = entries.select("token", own.alias("i"), every.alias("j"), *(F.col(c).alias(f"x_{c}") for c in ABOUT))
+    y = entries.select("token", every.alias("i"), own.alias("j"), *(F.col(c).alias(f"y_{c}") for c in ABOUT))
+    pairs = stored(_candidates(x, y, ["token", "i", "j"], F.lit(True)), "jaccard-pairs")
+    links = stored(_verified(pairs, index), "jaccard-links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = stored(classes.join(ends, "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))), "jaccard-counted")
+    return Found(staged, sets, classes, links, stored(components(links), "jaccard-roots"))
+
+
+def linked(found: Found) -> DataFrame:
+    """rid, doc_id and n_links, the number of other rows that a row links with, for what join() found."""
+    both = found.links.union(found.links.select("b", "a"))
+    others = both.join(found.classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
+    classes = found.classes.join(others, "rep", "left").select("class", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return found.sets.join(classes, "class", "left").select("rid", "doc_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def connect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Found:
+    """Find the components of docs: as many links as make them, not all."""
+    spark = docs.sparkSession
+    staged, sets, classes, index, entries = _prepared(docs, key, text)
     links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
     tried = spark.createDataFrame([], "a long, b long")
@@ -202,9 +246,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Found:
         some = open_entries.where(F.pmod(F.xxhash64(F.lit(k), "token"), F.lit(share)) == 0)
         salt = F.pmod(F.xxhash64(F.lit(k), "rid"), F.ceil(F.col("size") / CHAIN))  # so that a hot group is many chains
         order = Window.partitionBy("token", "salt").orderBy(F.xxhash64(F.lit(k), "token", "rid"), "rid")
-        other = F.lag(F.struct(*about, "root")).over(order)
+        other = F.lag(F.struct(*ABOUT, "root")).over(order)
         chain = some.withColumn("salt", salt).withColumn("other", other).where("root <> other.root")
-        flat = chain.select(*(F.col(c).alias(f"x_{c}") for c in about), *(F.col(f"other.{c}").alias(f"y_{c}") for c in about))
+        flat = chain.select(*(F.col(c).alias(f"x_{c}") for c in ABOUT), *(F.col(f"other.{c}").alias(f"y_{c}") for c in ABOUT))
         pairs = flat.where(_possible("x", "y")).select(F.least("x_rid", "y_rid").alias("a"), F.greatest("x_rid", "y_rid").alias("b")).distinct()
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-chain")
         tried = tried.union(pairs)
@@ -213,10 +257,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Found:
         open_entries = entries.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         mixed = open_entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
         open_entries = stored(open_entries.join(mixed, "token"), "jaccard-open")
-    x, y = (open_entries.select("token", *(F.col(c).alias(f"{s}_{c}") for c in [*about, "root"])) for s in "xy")
-    across = x.join(y, "token").where((F.col("x_rid") < F.col("y_rid")) & (F.col("x_root") != F.col("y_root")) & _possible("x", "y"))
-    shared = across.groupBy(F.col("x_rid").alias("a"), F.col("y_rid").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.first(F.least("x_level", "y_level")).alias("level"))
-    pairs = stored(shared.where("common >= level").select("a", "b").join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    x, y = (open_entries.select("token", *(F.col(c).alias(f"{s}_{c}") for c in [*ABOUT, "root"])) for s in "xy")
+    across = _candidates(x, y, ["token"], F.col("x_root") != F.col("y_root"))
+    pairs = stored(across.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     more = stored(_verified(pairs, index), "jaccard-more")
     links = links.union(more)
     if more.limit(1).count():
@@ -236,7 +279,7 @@ def labelled(found: Found) -> DataFrame:
 
 def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document, that of the least doc_id, of each component."""
-    found = join(docs, key, text)
+    found = connect(docs, key, text)
     stays = labelled(found).where("stays").select("rid")
     kept = found.staged.join(stays, "rid", "left_semi")
     return kept.select(*(F.col("text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns))

@@ -38,7 +38,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = jaccard.connect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return jaccard.labelled(found).select("doc_id", "n_shingles", "component_id")
 
 

@@ -226,6 +226,31 @@ def test_jaccard(spark, docs, real, nothing):
     assert jaccard.labelled(jaccard.join(nothing)).count() == 0
 
 
+def brute_links(items):
+    words = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)) for _, t in items]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= 75 * len(a | b)
+    return sets, {(i, j) for j in range(len(items)) for i in range(j) if linked(sets[i], sets[j])}
+
+
+def test_jaccard_links(spark, docs, real, nothing, monkeypatch):
+    near = [(i, " ".join(w if random.Random(100 * i + k).random() > 0.02 else "edit" for k, w in enumerate(prose(9, 120).split()))) for i in range(60)]
+    family = spark.createDataFrame([*near, near[0]], "doc_id long, text string")
+    for block in (jaccard.BLOCK, 7):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        for frame in (docs, real, family) if block > 7 else (family,):
+            found, items = jaccard.join(frame), pairs(frame)
+            sets, links = brute_links(items)
+            ends = [x for link in links for x in link]
+            assert sorted(((r["doc_id"], r["n_links"]) for r in jaccard.linked(found).collect()), key=str) == sorted(((d, ends.count(i)) for i, (d, _) in enumerate(items)), key=str)
+            different = {frozenset((frozenset(sets[i]), frozenset(sets[j]))) for i, j in links if sets[i] != sets[j]}
+            assert found.links.count() == found.links.distinct().count() == len(different)
+            assert found.classes.agg(F.sum("n_links")).first()[0] == 2 * len(different)
+            rows = lambda x: sorted((tuple(r) for r in jaccard.labelled(x).drop("rid").collect()), key=str)
+            assert rows(jaccard.connect(frame)) == rows(found)
+    assert jaccard.linked(jaccard.join(nothing)).count() == 0
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
     assert {(r["node"], r["root"]) for r in components.components(links).collect()} == {(i, 0) for i in range(41)} | {(i, 100) for i in (100, 101, 102)}
