@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-ROUNDS = 60
-
 
 def _state(links: DataFrame) -> tuple:
     row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -23,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node that has a link; links has long columns a, b."""
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     before = _state(edges)
-    for _ in range(ROUNDS):
+    while True:  # until a round changes nothing; each that changes something brings a node a lesser one
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -256,6 +256,12 @@ def test_components(spark):
     assert {(r["node"], r["root"]) for r in components.components(links).collect()} == {(i, 0) for i in range(41)} | {(i, 100) for i in (100, 101, 102)}
 
 
+def test_components_settle(spark, monkeypatch):
+    monkeypatch.setattr(components, "ROUNDS", 1, raising=False)  # no number of rounds ends the work early
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in components.components(links).collect()} == {(i, 0) for i in range(41)}
+
+
 # --- 3 --------------------------------------------------------------------------------------------------------
 
 
