@@ -51,6 +51,11 @@ def fold(text: Column) -> Column:
     return F.arrow_udf(run, "string")(text)
 
 
+def folded(text: Column) -> Column:
+    """fold() of what isn't ASCII, the rest as it is."""
+    return F.coalesce(fold(F.when(~is_ascii(text), text)), text)
+
+
 def romanise(text: Column) -> Column:
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tamarack.functions import script
@@ -61,6 +66,26 @@ def romanise(text: Column) -> Column:
     return F.arrow_udf(run, "string")(text)
 
 
+def _readings(text: Column, of: str) -> Column:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from tamarack.functions import script
+
+        for column in columns:
+            yield pa.array([None if x is None else getattr(script, of)(x) for x in column.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(F.when(has_devanagari(text), text))
+
+
+def romanisations(text: Column) -> Column:
+    """All readings of a word with Devanagari in it; null without."""
+    return _readings(text, "romanisations")
+
+
+def transliterations(text: Column) -> Column:
+    """What a word may stand for in romanised Hindi, in order."""
+    return F.coalesce(_readings(text, "transliterations"), phonetic_variants(text))
+
+
 def strip_invisible(text: Column) -> Column:
     return F.regexp_replace(text, f"[{T.INVISIBLE}]", "")
 

@@ -14,6 +14,7 @@ from ..functions import forms, native
 from ..functions import tables as T
 from ..lexicon import SEVERITIES, Lexicon
 from ..plans.config import Config
+from ..plans.scanner import HINDI
 
 #: A lexicon table of at most so many rows (a few MB) is broadcast.
 BROADCAST_ROWS = 100_000
@@ -72,22 +73,56 @@ def not_safe(found: DataFrame, tables: Tables) -> DataFrame:
     return found.join(tables.safe, F.col("value") == F.col("safe"), "left_anti")
 
 
+def not_exempt(found: DataFrame, tables: Tables) -> DataFrame:
+    """Without Devanagari forms one of whose readings is safe or whitelisted; after the exact tier."""
+    read = found.where(native.has_devanagari(F.col("value"))).select("value", F.explode(native.romanisations(F.col("value"))).alias("_r"))
+    exempt = read.join(tables.safe, F.col("_r") == F.col("safe"), "left_semi").select(F.col("value").alias("_x")).distinct()
+    return found.join(exempt, F.col("value") == F.col("_x"), "left_anti")
+
+
+def _spelled(found: DataFrame) -> DataFrame:
+    """found with _all, the spellings of each form; the fold, a Python function, is a column of its own."""
+    return found.withColumn("_f", native.folded(F.col("value"))).withColumn("_all", native.variants(F.col("_f"))).drop("_f")
+
+
+def not_stopped(found: DataFrame, tables: Tables) -> DataFrame:
+    """Without forms one of whose spellings is whitelisted; after the normalised tier, which only stops there."""
+    white = sorted(tables.config.lowered())
+    if not white:
+        return found
+    return _spelled(found).where(~F.exists("_all", lambda v: v.isin(white))).drop("_all")
+
+
 def exact(found: DataFrame, tables: Tables) -> DataFrame:
     """Forms that are keys: a hash join."""
     return found.join(tables.keys, F.col("value") == F.col("key")).where("passes").select(*found.columns, *_ENTRY, *_hit("exact", 1.0))
 
 
 def normalized(found: DataFrame, tables: Tables) -> DataFrame:
-    """Forms one of whose spellings is a key; the first spelling decides, short ones don't count."""
-    spelled = found.select("*", F.posexplode(native.variants(F.col("value"))).alias("_k", "_v")).where((F.length("_v") >= 3) | (F.col("_v") == F.col("value")))
+    """Forms one of whose spellings is a key; the first spelling decides, short ones don't count, those from a whitelisted one on neither."""
+    white = sorted(tables.config.lowered())
+    every = _spelled(found)
+    if white:
+        stop = F.array_position(F.transform("_all", lambda v: v.isin(white)), True)
+        every = every.withColumn("_all", F.when(stop > 0, F.slice("_all", 1, (stop - 1).cast("int"))).otherwise(F.col("_all")))
+    spelled = every.select(*found.columns, F.posexplode("_all").alias("_k", "_v")).where((F.length("_v") >= 3) | (F.col("_v") == F.col("value")))
     hits = spelled.join(tables.keys, F.col("_v") == F.col("key")).where("passes")
     first = hits.groupBy(*found.columns).agg(F.min_by(F.struct(*_ENTRY), "_k").alias("e"))
     return first.select(*found.columns, *(f"e.{x}" for x in _ENTRY), *_hit("normalized", 0.95))
 
 
+def transliterated(found: DataFrame, tables: Tables) -> DataFrame:
+    """Forms one of whose readings or phonetic folds is a key of romanised Hindi; the first decides."""
+    read = found.select("*", F.posexplode(native.transliterations(F.col("value"))).alias("_k", "_r"))
+    spelled = read.withColumn("_f", native.folded(F.col("_r"))).withColumn("_v", native.normalize(F.col("_f"))).where((F.length("_v") >= 3) | (F.col("_v") == F.col("value")))
+    hits = spelled.join(tables.keys, F.col("_v") == F.col("key")).where(F.col("passes") & (F.col("language") == HINDI))
+    first = hits.groupBy(*found.columns).agg(F.min_by(F.struct(*_ENTRY), "_k").alias("e"))
+    return first.select(*found.columns, *(f"e.{x}" for x in _ENTRY), *_hit("normalized", 0.9))
+
+
 def partial(found: DataFrame, tables: Tables) -> DataFrame:
     """Forms that contain a pattern: a nested-loop join of distinct forms with the few patterns. The earliest end wins, then the longest."""
-    spelled = found.select("*", F.posexplode(native.variants(F.col("value"))).alias("_k", "_v")).where(F.length("_v") >= 4)
+    spelled = _spelled(found).select(*found.columns, F.posexplode("_all").alias("_k", "_v")).where(F.length("_v") >= 4)
     at = F.instr(F.col("_v"), F.col("pattern"))
     hits = spelled.join(tables.partial, (at > 0) & (F.col("_v") != F.col("pattern"))).where("passes")
     rank = F.struct("_k", (at + F.length("pattern")).alias("end"), (-F.length("pattern")).alias("size"))
@@ -98,7 +133,7 @@ def partial(found: DataFrame, tables: Tables) -> DataFrame:
 def fuzzy(found: DataFrame, tables: Tables) -> DataFrame:
     """Forms similar to a canonical word: an equi-join on the first letter or a neighbour of it, then length, then edit distance."""
     t = tables.config.threshold
-    plain = found.select("*", native.normalize(F.col("value")).alias("_p")).where((F.length("value") >= 3) & (F.col("_p") != ""))
+    plain = found.withColumn("_f", native.folded(F.col("value"))).select(*found.columns, native.normalize(F.col("_f")).alias("_p")).where((F.length("value") >= 3) & (F.col("_p") != ""))
     blocks = plain.select("*", F.explode(F.array(*(F.struct(F.char(F.ascii("_p") + d).alias("first"), F.lit(abs(d)).alias("off"), F.lit(r).alias("turn")) for d, r in ((0, 0), (-1, 1), (1, 2))))).alias("_b"))
     candidates = blocks.join(tables.canonical, F.col("_b.first") == F.substring("word", 1, 1))
     longest = F.greatest(F.length("_p"), F.length("word"))
@@ -114,10 +149,12 @@ def cascade(found: DataFrame, tables: Tables) -> DataFrame:
     """Each form's verdict: of the tiers that hit it, the first. Tiers run once each, on all forms: those that an
     earlier tier has are few, and leaving them out by anti-joins would run the earlier tiers again for every later one."""
     left = not_safe(found, tables)
-    steps = [exact, normalized, partial, *([fuzzy] if tables.config.fuzzy else [])]
+    rest = not_exempt(left, tables)
+    later = not_stopped(rest, tables)
+    steps = [(exact, left), (normalized, rest), *([(transliterated, later)] if tables.config.transliteration else []), (partial, later), *([(fuzzy, later)] if tables.config.fuzzy else [])]
     every = None
-    for rank, step in enumerate(steps):
-        hit = step(left, tables).withColumn("_rank", F.lit(rank))
+    for rank, (step, forms_left) in enumerate(steps):
+        hit = step(forms_left, tables).withColumn("_rank", F.lit(rank))
         every = hit if every is None else every.unionByName(hit)
     columns = [*_ENTRY, "match_type", "confidence"]
     first = every.groupBy(*found.columns).agg(F.min_by(F.struct(*columns), "_rank").alias("e"))

@@ -95,7 +95,7 @@ def collapse_runs_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalized_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return _forms(spark, d).select("value", native.normalize(F.col("value")).alias("normal"))
+    return _forms(spark, d).withColumn("_f", native.folded(F.col("value"))).select("value", native.normalize(F.col("_f")).alias("normal"))
 
 
 def phonetic_tokens(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tamarack.lexicon import load
 from tamarack.operators import tiers
 from tamarack.operators.moderation import Engine, confusion, register, resolved
+from tamarack.plans.config import Config
 from tamarack.plans.scanner import Scanner
 from tamarack.sources import texts
 
@@ -80,6 +81,18 @@ def test_tiers_agree_with_the_scanner(spark):
             assert joined.get(w) == (None if v is None else (v[0].word, v[1], round(v[2], 6))), w
 
 
+def test_tiers_agree_on_hindi_and_folded_forms(spark):
+    lexicon = load()
+    words = ["gadha", "gaddhaa", "गधा", "निकम्मा", "कमीना", "उल्लू", "काम", "bewakooph", "nikaamma", "ｍｏｒｏｎ", "ідiоt", "mоrоn", "idi\u0301ot", "xxidıotxx", "crétin", "īdiot", "\U0001d426oron", "idi0t", "id1ot", "morooon", "scoundrl", "कमीने", "ullu", "kamiina", "नमस्ते"]
+    df = spark.createDataFrame([(w, 1) for w in words], "value string, n int")
+    for config in (Config(), Config(transliteration=False), Config(whitelist=("kamina", "idiot")), Config(whitelist=("ullu",), fuzzy=False), Config(languages=("en",))):
+        joined = {r.value: (r.matched, r.match_type, round(r.confidence, 6)) for r in tiers.cascade(df, tiers.Tables(spark, lexicon, config)).collect()}
+        scanner = Scanner(lexicon, config)
+        told = {w: (v[0].word, v[1], round(v[2], 6)) for w in words if (v := scanner.verdict(w, True, False))}
+        assert joined == told, config
+        assert config != Config() or {"गधा", "निकम्मा", "कमीना", "ｍｏｒｏｎ"} <= set(joined)
+
+
 def test_stream(spark, engine, tmp_path):
     texts(spark, "idiot", "fine").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
