@@ -4,7 +4,7 @@ Writing: payload digests are aggregated map-side to the largest page_id of each
 joined back by digest (a hot digest splits under adaptive skew joins: it has one row on the other side), and
 each task appends records to a file of its own. Reading: each file is parsed from its start; after a failed
 check the reader looks for the next member or version line that begins a valid record, goes on there, and
-logs the bytes between as quarantined.
+logs the bytes between as quarantined; it does so inside a member as well, also one that is cut off.
 
 Defined results: null html is an empty payload; empty payloads count as equal payloads; null page_ids give
 records without the page's header and read back as null; rows that repeat a page_id and its payload are each
@@ -97,10 +97,19 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     revisit = fields.get("warc-type") == "revisit"
     if not revisit and digest != base32_sha1(payload):
         raise Damaged("payload digest differs")
-    number = lambda x: int(x) if x is not None else None
+
+    def number(x: str | bytes | None) -> int | None:
+        try:
+            value = int(x) if x is not None else None
+        except ValueError as e:
+            raise Damaged("a number that is none") from e
+        if value is not None and not -(2**63) <= value < 2**63:
+            raise Damaged("a number beyond 64 bits")
+        return value
+
     return {
         "page_id": number(fields.get("x-page-id")), "url": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"),
-        "payload_bytes": int(sizes[0]) if sizes else len(payload), "payload_digest": digest,
+        "payload_bytes": number(sizes[0]) if sizes else len(payload), "payload_digest": digest,
         "refers_to": number(fields.get("x-refers-to-page-id")), "payload": None if revisit else payload,
     }, stop + 4
 
@@ -108,55 +117,82 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
 STEP = 1 << 16
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int]:
+def _member(data: memoryview, at: int) -> tuple[bytes, int, bool]:
+    """What a member holds, the offset behind, and whether it is cut off; then the bytes are those before the cut.
+    Of a member that zlib finds wrong nothing is taken: its checksum is the only one that record headers have."""
     unpack, out = zlib.decompressobj(31), []
     while not unpack.eof:
         if at >= len(data):
-            raise Damaged("gzip: member is cut off")
+            return b"".join(out), at, True
         part = data[at : at + STEP]
         try:
             out.append(unpack.decompress(part))
         except zlib.error as e:
             raise Damaged(f"gzip: {e}") from e
         at += len(part)
-    return b"".join(out), at - len(unpack.unused_data)
+    return b"".join(out), at - len(unpack.unused_data), False
+
+
+def _inside(raw: bytes) -> tuple[list[dict], str | None]:
+    """The valid records of decompressed bytes, and what is wrong with the first that isn't."""
+    found, at, wrong = [], 0, None
+    while 0 <= at < len(raw):
+        try:
+            one, at = parse(raw, at)
+            found.append(one)
+        except Damaged as e:
+            wrong, at = wrong or str(e), raw.find(b"WARC/1.", at + 1)
+    return found, wrong
 
 
-def _one(data: bytes, view: memoryview, at: int) -> tuple[list[dict], int]:
-    """The records of the member, or the plain record, that begins at an offset; the offset behind."""
+def _one(data: bytes, view: memoryview, at: int) -> tuple[list[dict], int, str | None, bool]:
+    """The records of the member, or the plain record, that begins at an offset; the offset behind; what is wrong
+    with some of them; whether the offset behind is sure."""
     if not data.startswith(MAGIC, at):
         found, at = parse(data, at)
-        return [found], at
-    raw, end = _member(view, at)
-    found, inner = [], 0
-    while inner < len(raw):
-        one, inner = parse(raw, inner)
-        found.append(one)
-    return found, end
+        return [found], at, None, True
+    raw, end, cut = _member(view, at)
+    found, wrong = _inside(raw)
+    wrong = "gzip: member is cut off" if cut else wrong
+    if wrong and not found:
+        raise Damaged(wrong)
+    return found, end, wrong, not cut
 
 
 def salvage(data: bytes) -> Iterator[dict | tuple[int, int, str]]:
-    """Records of an archive, and (start, end, reason) of each gap that was skipped. A later start is accepted
-    only if the record there passes all checks."""
+    """Records of an archive, and (start, end, reason) of each gap that was skipped. A record is only given if it
+    passes all checks. A gap may be a member that some records were recovered from."""
     view, at, size = memoryview(data), 0, len(data)
+    start, reason = None, ""
+    had: list[dict] = []  # records of cut-off members, which the raw bytes before `until` may show again
+    until = 0
     while at < size:
         try:
-            found, behind = _one(data, view, at)
+            found, behind, wrong, sure = _one(data, view, at)
         except Damaged as e:
-            start, reason, found = at, str(e), []
-            while at < size:
-                nexts = [x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
-                at = min(nexts, default=size)
-                try:
-                    found, behind = _one(data, view, at) if at < size else ([], size)
-                    break
-                except Damaged:
-                    continue
-            else:
-                behind = size
-            yield start, at, reason
+            found, behind, wrong, sure = [], at, str(e), False
+        if wrong is None:
+            if start is not None:
+                yield start, at, reason
+                start = None
+            if at < until and not data.startswith(MAGIC, at) and found[0] in had:
+                had.remove(found[0])
+                found = []
+            yield from found
+            at = behind
+            continue
+        if start is None:
+            start, reason = at, wrong
         yield from found
-        at = behind
+        if sure:
+            yield start, behind, reason
+            start, at = None, behind
+            continue
+        if found:
+            had, until = had + found, max(until, behind)
+        at = min((x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0), default=size)
+    if start is not None:
+        yield start, size, reason
 
 
 # --- tables ---------------------------------------------------------------------------------------------------

@@ -180,6 +180,28 @@ def test_mixing(docs, real, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed(docs).columns == docs.columns
 
 
+def test_salvage_inside_a_member():
+    one = [warc.record(i, f"u{i}", f"page {i} ".encode() * 50, None, False) for i in range(6)]
+    ids = lambda data: [x["page_id"] for x in warc.salvage(data) if isinstance(x, dict)]
+    gaps = lambda data: [x[:2] for x in warc.salvage(data) if isinstance(x, tuple)]
+    bad = one[2].replace(b"page 2", b"pagE 2", 1)
+    member = warc.member(b"".join([*one[:2], bad, *one[3:5]]))
+    data = member + warc.member(one[5])
+    assert ids(data) == [0, 1, 3, 4, 5] and gaps(data) == [(0, len(member))]
+    noise = [warc.record(i, None, random.Random(i).randbytes(3000), None, False) for i in range(6)]
+    whole = warc.member(b"".join(noise))
+    assert ids(whole[: len(whole) * 2 // 3])[:3] == [0, 1, 2] and gaps(whole[:-1]) == [(0, len(whole) - 1)] and ids(whole[:-1]) == list(range(6))
+    assert ids(whole[:-8] + bytes(8) + warc.member(one[5])) == [5]  # headers have no checksum but the member's
+    pack = zlib.compressobj(0, zlib.DEFLATED, 31)  # stored: version lines show in the raw bytes as well
+    plain = pack.compress(b"".join(one)) + pack.flush()
+    assert ids(plain[:-8]) == list(range(6))
+    for number in (b"X-Page-Id: x1", b"X-Page-Id: " + b"9" * 30):
+        assert ids(one[0] + one[1].replace(b"X-Page-Id: 1", number) + one[2]) == [0, 2]
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: many\r\n\r\nx"
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {len(block)}\r\nWARC-Block-Digest: sha1:{warc.base32_sha1(block)}\r\nWARC-Payload-Digest: sha1:{warc.base32_sha1(b'x')}\r\n\r\n"
+    assert ids(one[0] + head.encode() + block + b"\r\n\r\n" + one[2]) == [0, 2]
+
+
 def test_targets_and_split():
     assert mixing.targets([100, 100, 100], [3, 1, 2]) == pytest.approx([200, 250 / 3, 500 / 3])
     assert mixing.targets([], []) == [] and mixing.targets([0, 10], [3, 1]) == [0, 15]
