@@ -47,7 +47,7 @@ def token_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """The hundred commonest pairs of neighbours; pairs are made inside each document's own array, so only counts are shuffled."""
+    """A report: the hundred commonest pairs of neighbours; all windows of any size are tiers.ngrams'. Pairs are made inside each document's own array, so only counts are shuffled."""
     words = _docs(spark, d).select(native.words(F.col("text")).alias("w"))
     pairs = F.filter(F.transform("w", lambda v, i: F.lower(F.concat(v, F.lit(" "), F.get("w", i + 1)))), lambda g: g.isNotNull())
     return words.select(F.explode(pairs).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(100)

@@ -93,6 +93,14 @@ def test_tiers_agree_on_hindi_and_folded_forms(spark):
         assert config != Config() or {"गधा", "निकम्मा", "कमीना", "ｍｏｒｏｎ"} <= set(joined)
 
 
+def test_ngrams(spark):
+    lines = {1: "a b c d e a b", 2: "a b", 3: "x", 4: "", 5: "b a b a b a"}
+    words = tiers.tokens(spark.createDataFrame(list(lines.items()), "doc_id long, text string"))
+    for size in (2, 3, 4, 5):
+        told = [(d, k, " ".join(w[k : k + size])) for d, t in lines.items() for w in [t.split()] for k in range(len(w) - size + 1)]
+        assert sorted(tuple(r) for r in tiers.ngrams(words, size).collect()) == sorted(told), size
+
+
 def test_stream(spark, engine, tmp_path):
     texts(spark, "idiot", "fine").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
