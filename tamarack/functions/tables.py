@@ -26,7 +26,7 @@ APOSTROPHES = "'\u2018\u2019"
 
 #: Sequences that stand for a letter; longer ones go first, then in this order.
 SEQUENCES = {
-    r"\/\/": "w", r"|\\|": "n", r"/\/\\": "m", r"/-\\": "a", r"|-|": "h", r"|_|": "u", r"|\|": "n", r"/\/": "n", "><": "x", "}{": "x", "/\\": "a", r"\/": "v",
+    "\\/\\/": "w", "|\\\\|": "n", "/\\/\\": "n", "/-\\": "a", "|-|": "h", "|_|": "u", "|\\|": "n", "/\\/": "n", "><": "x", "}{": "x", "/\\": "a", "\\/": "v",
     "|)": "d", "|<": "k", "|3": "b", "|*": "p", "|o": "p", "|2": "r", "|=": "f", "|_": "l", "_|": "j", "/<": "k", "/2": "r", "()": "o", "[]": "d", "[)": "d",
     "0_": "q", "`/": "y", "~/": "z", "13": "b", "ph": "f", "vv": "w", "//": "n",
 }
@@ -34,7 +34,7 @@ SEQUENCES = {
 #: Single characters that stand for letters.
 SINGLES = {
     "0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "§": "s", "!": "i", "|": "i", "+": "t", "†": "t", "(": "c", "<": "c", "{": "c", "[": "c", "^": "a", "#": "h", "*": "", "∅": "", "×": "x",
+    "@": "a", "$": "s", "§": "s", "!": "i", "|": "i", "+": "t", "†": "t", "(": "c", "<": "c", "{": "c", "[": "c", "^": "a", "#": "h", "*": "", "×": "x",
     "¡": "i", "€": "e", "£": "l", "¥": "y",
     "ä": "a", "á": "a", "à": "a", "â": "a", "ã": "a", "å": "a", "ë": "e", "é": "e", "è": "e", "ê": "e", "ï": "i", "í": "i", "ì": "i", "î": "i",
     "ö": "o", "ó": "o", "ò": "o", "ô": "o", "õ": "o", "ø": "o", "ü": "u", "ú": "u", "ù": "u", "û": "u", "ñ": "n", "ç": "c", "ð": "d",
