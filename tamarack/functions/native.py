@@ -56,16 +56,6 @@ def folded(text: Column) -> Column:
     return F.coalesce(fold(F.when(~is_ascii(text), text)), text)
 
 
-def romanise(text: Column) -> Column:
-    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from tamarack.functions import script
-
-        for column in columns:
-            yield pa.array([None if x is None else script.romanise(x) for x in column.to_pylist()], pa.string())
-
-    return F.arrow_udf(run, "string")(text)
-
-
 def _readings(text: Column, of: str) -> Column:
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tamarack.functions import script
@@ -174,20 +164,11 @@ def has_edge_digits(text: Column) -> Column:
     return text.rlike("[0-9]") & (code_shape(text)["blocks"] == 2)
 
 
-def strip_edge_digits(text: Column) -> Column:
-    return F.btrim(text, F.lit("0123456789"))
-
-
 def strip_edges(text: Column) -> Column:
     """A segment without punctuation at its edges."""
     return F.btrim(text, F.lit(T.EDGES))
 
 
-def snake_case(segment: Column) -> Column:
-    parts = F.filter(F.split(segment, "_"), lambda p: p != "")
-    return F.contains(segment, F.lit("_")) & (F.size(parts) > 1) & F.exists(parts, lambda p: F.length(p) >= 2)
-
-
 def phonetic(word: Column) -> Column:
     out = F.lower(word)
     for a, b in T.PHONETIC:
