@@ -28,12 +28,37 @@ SPAM, SPAM_FACTOR = 3, 1.5
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
+def quoted(name: str) -> Column:
+    """A column by its name as it is, also with dots in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def _scanner(lexicon: Lexicon, config: Config) -> Scanner:
+    """In a worker: made once for each lexicon and configuration."""
+    import sys
+
+    made = sys.__dict__.setdefault("_tamarack_scanners", {})
+    key = (lexicon, config)
+    return made.get(key) or made.setdefault(key, Scanner(lexicon, config))
+
+
+def _checked(text: str | None, strict: bool) -> str | None:
+    if strict and text is not None and len(text) > MAX_CHARS:
+        raise ValueError(f"a text is longer than {MAX_CHARS} characters")
+    return text
+
+
 def _hits(scanner: Scanner, texts: list[str | None], strict: bool) -> pa.Array:
     found, offsets = [], [0]
     for text in texts:
-        if strict and text is not None and len(text) > MAX_CHARS:
-            raise ValueError(f"a text is longer than {MAX_CHARS} characters")
-        found += scanner.detect(text)
+        found += scanner.detect(_checked(text, strict))
         offsets.append(len(found))
     columns = [pa.array([getattr(h, name) for h in found], kind) for name, kind in zip(_FIELDS, _KINDS)]
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, list(_FIELDS)))
@@ -43,17 +68,24 @@ def hits(text: Column, lexicon: Lexicon, config: Config = Config()) -> Column:
     """A column of detections of a text column. Nulls and blank texts have none."""
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import sys
-
-        made = sys.__dict__.setdefault("_tamarack_scanners", {})  # scanners stay in the worker
-        key = (lexicon, config)
-        scanner = made.get(key) or made.setdefault(key, Scanner(lexicon, config))
+        scanner = _scanner(lexicon, config)
         for column in columns:
             yield _hits(scanner, column.to_pylist(), config.strict)
 
     return F.arrow_udf(run, HITS)(text)
 
 
+def flagged(text: Column, lexicon: Lexicon, config: Config = Config()) -> Column:
+    """Whether a text has any detection; a text is read no further than its first."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scanner = _scanner(lexicon, config)
+        for column in columns:
+            yield pa.array([scanner.flagged(_checked(x, config.strict)) for x in column.to_pylist()], pa.bool_())
+
+    return F.arrow_udf(run, "boolean")(text)
+
+
 def masked(text: Column, found: Column, mask: str = "*") -> Column:
     """text with every detection's characters replaced by the mask, which is repeated, whole, for each UTF-16 unit."""
     mask = mask if isinstance(mask, str) else "*"
@@ -104,43 +136,66 @@ class Engine:
 
     # --- per row ----------------------------------------------------------------------------------------------
 
-    def scan(self, df: DataFrame, text: str = "text", into: str = "detections") -> DataFrame:
-        """df with an array of detections, and whether the text is over the length limit."""
-        spark = df.sparkSession
+    def _prepare(self, spark: SparkSession) -> None:
+        """Ships the sources and bounds the session's Arrow batches: texts are long, and a batch of the default number
+        of them would fill a worker. The bounds stay set; they limit sizes only and change no result."""
         ship(spark)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-        return df.withColumn(into, hits(F.col(text), self.lexicon, self.config)).withColumn("text_over_limit", F.coalesce(F.length(text) > MAX_CHARS, F.lit(False)))
+
+    @staticmethod
+    def _beside(df: DataFrame, **found: Column) -> DataFrame:
+        """df with columns added; its own of the same names are replaced."""
+        return df.select(*(quoted(c) for c in df.columns if c not in found), *(c.alias(name) for name, c in found.items()))
+
+    def scan(self, df: DataFrame, text: str = "text", into: str = "detections") -> DataFrame:
+        """df with an array of detections, and text_over_limit, whether the text is over the length limit; columns of
+        these names are replaced."""
+        self._prepare(df.sparkSession)
+        over = F.coalesce(F.length(quoted(text)) > MAX_CHARS, F.lit(False))
+        return self._beside(df, **{into: hits(quoted(text), self.lexicon, self.config), "text_over_limit": over})
 
     def detect(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """A row for each detection: df's columns but the text, then the detection's, with offsets in UTF-16 units too."""
-        keep = [c for c in df.columns if c != text]
-        wide = lambda end: F.col(f"_d.{end}") + F.length(F.regexp_replace(F.substring(F.col(text), F.lit(1), F.col(f"_d.{end}")), r"[^\x{10000}-\x{10FFFF}]", ""))
-        rows = self.scan(df, text, "_found").select(*keep, text, F.explode("_found").alias("_d"))
-        return rows.select(*keep, *(F.col(f"_d.{f}").alias(f) for f in _FIELDS), wide("start").alias("utf16_start"), wide("end").alias("utf16_end"))
+        """A row for each detection: df's columns but the text, then the detection's, with offsets in UTF-16 units too.
+        Columns of df that are named as one of the detection's are left out."""
+        self._prepare(df.sparkSession)
+        names = [*_FIELDS, "utf16_start", "utf16_end"]
+        keep = [c for c in df.columns if c != text and c not in names]
+        one = _fresh(df, "_d")
+        wide = lambda end: F.col(f"{one}.{end}") + F.length(F.regexp_replace(F.substring(quoted(text), F.lit(1), F.col(f"{one}.{end}")), r"[^\x{10000}-\x{10FFFF}]", ""))
+        rows = df.select(*map(quoted, keep), quoted(text), F.explode(hits(quoted(text), self.lexicon, self.config)).alias(one))
+        return rows.select(*map(quoted, keep), *(F.col(f"{one}.{f}").alias(f) for f in _FIELDS), wide("start").alias("utf16_start"), wide("end").alias("utf16_end"))
 
     def is_clean(self, df: DataFrame, text: str = "text") -> DataFrame:
-        return self.scan(df, text, "_found").withColumn("is_clean", F.size("_found") == 0).drop("_found", "text_over_limit")
+        """df with is_clean, whether a text has no detection; a column of that name is replaced."""
+        self._prepare(df.sparkSession)
+        return self._beside(df, is_clean=~flagged(quoted(text), self.lexicon, self.config))
 
     def censor(self, df: DataFrame, text: str = "text", mask: str = "*", into: str = "censored") -> DataFrame:
-        return self.scan(df, text, "_found").withColumn(into, masked(F.col(text), F.col("_found"), mask)).drop("_found", "text_over_limit")
+        """df with the masked text; a column of that name is replaced."""
+        found = _fresh(df, "_found")
+        scanned = self._beside(df, **{found: hits(quoted(text), self.lexicon, self.config)})
+        self._prepare(df.sparkSession)
+        kept = [c for c in df.columns if c != into]
+        return scanned.select(*map(quoted, kept), masked(quoted(text), F.col(found), mask).alias(into))
 
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """df with toxicity (0 to 1; null for a null text), categories, severities, repetition_spam, unique_matches,
-        total_matches and detections. Weights are summed over words, and times SPAM_FACTOR where a term repeats."""
+        """df with detections, text_over_limit, toxicity (0 to 1; null for a null text), categories, severities,
+        repetition_spam, unique_matches and total_matches; columns of these names are replaced. Weights are summed over
+        words, and times SPAM_FACTOR where a term repeats."""
         found = F.col("detections")
         scanned = self.scan(df, text)
         names = F.transform(found, lambda x: x["matched"])
         spam = F.exists(F.array_distinct(names), lambda n: F.size(F.filter(names, lambda m: m == n)) >= SPAM)
         weight = F.aggregate(found, F.lit(0.0), lambda a, x: a + sum((F.when(x["severity"] == s, F.lit(w)).otherwise(0.0) for s, w in WEIGHTS.items()), F.lit(0.0)))
-        words = F.greatest(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(1))
+        words = F.greatest(F.regexp_count(quoted(text), F.lit(r"\S+")), F.lit(1))
         toxicity = F.least(F.lit(1.0), weight / words * F.when(spam, SPAM_FACTOR).otherwise(1.0))
         kinds = F.array_distinct(F.transform(found, lambda x: x["category"]))
-        return scanned.select(
-            "*", F.when(F.col(text).isNotNull(), toxicity).alias("toxicity"),
-            F.map_from_entries(F.transform(F.array_sort(kinds), lambda c: F.struct(c, _count(found, lambda x: x["category"] == c)))).alias("categories"),
-            F.struct(*(self._severity(found, s) for s in SEVERITIES)).alias("severities"),
-            spam.alias("repetition_spam"), F.size(F.array_distinct(names)).cast("long").alias("unique_matches"), F.size(found).cast("long").alias("total_matches"),
+        return self._beside(
+            scanned, toxicity=F.when(quoted(text).isNotNull(), toxicity),
+            categories=F.map_from_entries(F.transform(F.array_sort(kinds), lambda c: F.struct(c, _count(found, lambda x: x["category"] == c)))),
+            severities=F.struct(*(self._severity(found, s) for s in SEVERITIES)),
+            repetition_spam=spam, unique_matches=F.size(F.array_distinct(names)).cast("long"), total_matches=F.size(found).cast("long"),
         )
 
     @staticmethod
@@ -152,7 +207,7 @@ class Engine:
     def audit(self, df: DataFrame, text: str = "text", top: int = 12) -> DataFrame:
         """Detections by match type, language and term: how many, and some of the surface forms; genuine
         inflections (one contains the other) are left out."""
-        found = self.detect(df, text)
+        found = self.detect(df.select(quoted(text)), text)
         low, term = F.lower("original"), F.lower("matched")
         odd = found.where(~(F.contains(low, term) | F.contains(term, low)))
         forms = odd.groupBy("match_type", "language", "matched", low.alias("form")).agg(F.count(F.lit(1)).alias("n"))
@@ -161,12 +216,12 @@ class Engine:
 
     def report(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Detections by language, category and severity, with all subtotals."""
-        return self.detect(df, text).cube("language", "category", "severity").agg(F.count(F.lit(1)).alias("hits"))
+        return self.detect(df.select(quoted(text)), text).cube("language", "category", "severity").agg(F.count(F.lit(1)).alias("hits"))
 
     def evaluate(self, df: DataFrame, label: str, text: str = "text") -> DataFrame:
         """Confusion counts, precision, recall, F1 and accuracy of `any detection` against a 0/1 column."""
-        flagged = self.is_clean(df, text).where(F.col(label).isin(0, 1)).select(F.col(label).alias("y"), (~F.col("is_clean")).alias("f"))
-        return confusion(flagged)
+        known = df.where(quoted(label).isin(0, 1)).select(quoted(label).alias("y"), quoted(text).alias("text"))
+        return confusion(self.is_clean(known).select("y", (~F.col("is_clean")).alias("f")))
 
 
 def confusion(rows: DataFrame) -> DataFrame:
@@ -189,10 +244,7 @@ def register(spark: SparkSession, engine: Engine) -> None:
     lexicon, config = engine.lexicon, engine.config
 
     def scanner() -> Scanner:
-        import sys
-
-        made = sys.__dict__.setdefault("_tamarack_scanners", {})
-        return made.get((lexicon, config)) or made.setdefault((lexicon, config), Scanner(lexicon, config))
+        return _scanner(lexicon, config)
 
     def over(kind: str, one):
         def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -218,10 +270,15 @@ def register(spark: SparkSession, engine: Engine) -> None:
         spam = any(names.count(n) >= SPAM for n in set(names))
         return min(1.0, sum(WEIGHTS[h.severity] for h in found) / max(1, len(text.split())) * (SPAM_FACTOR if spam else 1.0))
 
+    def listed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield _hits(scanner(), column.to_pylist(), config.strict)
+
+    spark.udf.register("profanity_hits", F.arrow_udf(listed, HITS))
     spark.udf.register("profanity_count", over("int", lambda own, t: len(own.detect(t))))
     spark.udf.register("profanity_censor", over("string", censored))
     spark.udf.register("profanity_score", over("double", scored))
-    spark.udf.register("is_clean", over("boolean", lambda own, t: not own.detect(t)))
+    spark.udf.register("is_clean", over("boolean", lambda own, t: not own.flagged(t)))
     spark.udf.register("text_normalize", over("string", lambda own, t: None if t is None else forms.normalize(t)))
 
     class DetectTerms:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import native
+from ..lexicon import Lexicon, Phrase
 from ..operators import tiers
-from ..operators.moderation import SPAM, SPAM_FACTOR, WEIGHTS, Engine, confusion
+from ..operators.moderation import SPAM, SPAM_FACTOR, WEIGHTS, Engine, confusion, resolved
 from ..sources import spread, table
 from ..streaming.scan import batch_as_stream
 from .config import Config
@@ -53,6 +55,15 @@ def token_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return words.select(F.explode(pairs).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(100)
 
 
+def ngram_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 2 to the widest phrase's number of words, as the phrase tier has them: how many, how many different, the commonest one's count."""
+    words = _tokens(spark, d).withColumn("value", F.lower("value"))
+    widest = max(len(p.phrase.split()) for p in Engine().lexicon.phrases)
+    grams = reduce(DataFrame.union, (tiers.ngrams(words, n).select(F.lit(n).alias("size"), "phrase") for n in range(2, widest + 1)))
+    counted = grams.groupBy("size", "phrase").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("size").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("phrases"), F.max("n").alias("most"))
+
+
 def _tier(step: Callable) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         tables = _tables(spark)
@@ -98,6 +109,21 @@ def normalized_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).withColumn("_f", native.folded(F.col("value"))).select("value", native.normalize(F.col("_f")).alias("normal"))
 
 
+#: Letters written as symbol sequences, so that there is something to decode.
+SYMBOLS = (
+    ("w", "\\/\\/"), ("n", "/\\/\\"), ("a", "/-\\"), ("h", "|-|"), ("u", "|_|"), ("x", "><"), ("v", "\\/"), ("d", "|)"), ("k", "|<"), ("b", "|3"),
+    ("p", "|*"), ("r", "|2"), ("f", "|="), ("l", "|_"), ("j", "_|"), ("o", "()"), ("q", "0_"), ("y", "`/"), ("z", "~/"),
+)
+
+
+def decoded_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Forms with letters turned into symbol sequences, and what they decode to."""
+    turned = F.col("value")
+    for letter, sequence in SYMBOLS:
+        turned = F.replace(turned, F.lit(letter), F.lit(sequence))
+    return _forms(spark, d).select("value", turned.alias("turned")).select("value", "turned", native.decode(F.col("turned")).alias("decoded"), native.decode(F.col("turned"), True).alias("literal"))
+
+
 def phonetic_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).select("value", native.phonetic(F.col("value")).alias("folded")).where("folded <> value")
 
@@ -114,6 +140,31 @@ def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
     return tiers.phrase_hits(docs, _tables(spark))
 
 
+def dedupe_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Words and phrases that overlap, by word positions: of each document those that the greedy pass keeps."""
+    tables = _tables(spark)
+    docs = _docs(spark, d).withColumn("text", F.replace("text", F.lit("idiot"), F.lit("go to hell idiot")))
+    words = tiers.exact(tiers.not_safe(tiers.tokens(docs).withColumn("value", F.lower("value")), tables), tables)
+    spans = words.select("doc_id", "pos", "matched", "confidence").union(tiers.phrase_hits(docs, tables).select("doc_id", "pos", "matched", "confidence"))
+    span = F.struct(F.col("pos").alias("start"), (F.col("pos") + F.size(F.split("matched", " "))).alias("end"), "confidence", "matched")
+    kept = spans.groupBy("doc_id").agg(resolved(F.array_sort(F.collect_list(span))).alias("k")).select("doc_id", F.explode("k").alias("s"))
+    return kept.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.matched").alias("matched"))
+
+
+#: Phrases of common words of the corpus, with what cancels them.
+CONTEXTS = (
+    Phrase("of the", "en", "low", "insult", not_followed_by=("and", "of to"), not_preceded_by=("the",)),
+    Phrase("the and", "en", "medium", "threat", not_preceded_by=("to", "the of")),
+    Phrase("to the", "en", "high", "threat", at_clause_end=True),
+)
+
+
+def phrase_context_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases that a user adds, with context rules, over the whole engine."""
+    found = Engine(Lexicon((), CONTEXTS)).detect(_docs(spark, d))
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "matched", "severity", "match_type", "confidence")
+
+
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences whose form is a key: the few forms that hit are found once and joined back to the words."""
     tables = _tables(spark)
@@ -182,16 +233,36 @@ def benchmark_overlap(spark: SparkSession, d: str) -> DataFrame:
     return words("documents").intersect(words("benchmark")).groupBy(F.length("value").alias("size")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-# --- the row-local engine; SQL can't express it, tests hold it against fixtures ---------------------------------
+# --- the row-local engine ---------------------------------------------------------------------------------------
+
+#: Terms of the corpus written so that each tier has something to find.
+DISGUISES = (("*", ""), ("idiot", "1d10t"), ("worthless", "wortless"), ("moron", "xxmoronxx"), ("loser", "go to hell"))
+_DETECTION = ("start", "end", "original", "matched", "language", "severity", "category", "match_type", "confidence")
+
+
+def _disguised(spark: SparkSession, d: str) -> DataFrame:
+    text = F.col("text")
+    for term, other in DISGUISES:
+        text = F.replace(text, F.lit(term), F.lit(other))
+    return _docs(spark, d).withColumn("text", text)
+
+
+def _told(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", *(F.col(c).cast("long").alias(c) if c in ("start", "end") else F.round(c, 6).alias(c) if c == "confidence" else F.col(c) for c in _DETECTION))
 
 
 def detections(spark: SparkSession, d: str) -> DataFrame:
-    return Engine().detect(_docs(spark, d))
+    return _told(Engine().detect(_docs(spark, d)))
+
+
+def disguised_detections(spark: SparkSession, d: str) -> DataFrame:
+    return _told(Engine().detect(_disguised(spark, d)))
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
     found = Engine().score(_docs(spark, d))
-    return found.select("doc_id", F.round("toxicity", 6).alias("toxicity"), F.map_entries("categories").alias("categories"), "severities", "repetition_spam", "unique_matches", "total_matches", "text_over_limit")
+    kinds = F.array_join(F.transform(F.map_entries("categories"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    return found.select("doc_id", F.round("toxicity", 6).alias("toxicity"), kinds.alias("categories"), "severities.low", "severities.medium", "severities.high", "repetition_spam", "unique_matches", "total_matches", "text_over_limit")
 
 
 def censored(spark: SparkSession, d: str) -> DataFrame:
@@ -203,12 +274,13 @@ def clean_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, d: str) -> DataFrame:
-    return Engine().audit(_docs(spark, d))
+    return Engine().audit(_disguised(spark, d))
 
 
 def page_detections(spark: SparkSession, d: str) -> DataFrame:
-    text = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
-    return Engine().detect(spread(table(spark, d, "pages", "page_id", "html")).select("page_id", text.alias("text"))).groupBy("matched", "match_type").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("page_id").alias("pages"))
+    text = F.regexp_replace(F.regexp_replace("html", r"(?s)<script\b.*?</script>|<style\b.*?</style>", " "), r"<[^>]*>", " ")
+    found = Engine().detect(spread(table(spark, d, "pages", "page_id", "html")).select("page_id", text.alias("text")))
+    return found.groupBy("matched", "match_type").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("page_id").alias("pages"))
 
 
 def stream_hits_by_window(spark: SparkSession, d: str) -> DataFrame:
@@ -216,12 +288,12 @@ def stream_hits_by_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "lexicon_profile": lexicon_profile, "token_stats": token_stats, "token_ngrams": token_ngrams, "exact_hits": _tier(tiers.exact), "normalized_hits": _tier(tiers.normalized),
+    "lexicon_profile": lexicon_profile, "token_stats": token_stats, "token_ngrams": token_ngrams, "ngram_profile": ngram_profile, "exact_hits": _tier(tiers.exact), "normalized_hits": _tier(tiers.normalized),
     "partial_hits": partial_hits, "fuzzy_hits": _tier(tiers.fuzzy), "form_verdicts": form_verdicts, "min_severity_hits": _scoped(min_severity="medium"),
     "language_scoped_hits": _scoped(languages=("en", "fr")), "leet_hits": leet_hits, "collapse_runs_tokens": collapse_runs_tokens, "normalized_tokens": normalized_tokens,
-    "phonetic_tokens": phonetic_tokens, "code_segments": code_segments, "phrase_hits": phrase_hits, "exact_score": exact_score, "exact_is_clean": exact_is_clean,
+    "decoded_tokens": decoded_tokens, "phonetic_tokens": phonetic_tokens, "code_segments": code_segments, "phrase_hits": phrase_hits, "dedupe_spans": dedupe_spans, "phrase_context_hits": phrase_context_hits, "exact_score": exact_score, "exact_is_clean": exact_is_clean,
     "category_report": category_report, "language_rollup": language_rollup, "top_terms": top_terms, "source_ranking": source_ranking, "eval_vs_labels": eval_vs_labels,
     "conversation_abuse_by_role": conversation_abuse_by_role, "vocabulary_candidates": vocabulary_candidates, "benchmark_overlap": benchmark_overlap,
-    "detections": detections, "scores": scores, "censored": censored, "clean_flags": clean_flags, "audit": audit, "page_detections": page_detections,
+    "detections": detections, "disguised_detections": disguised_detections, "scores": scores, "censored": censored, "clean_flags": clean_flags, "audit": audit, "page_detections": page_detections,
     "stream_hits_by_window": stream_hits_by_window,
 }

@@ -1,13 +1,16 @@
 """The row-local scanner: one text in, its detections out.
 
 Plain Python over a compiled lexicon; verdicts on words and segments depend on their surface form alone, so a
-worker keeps them in a bounded memo and classifies each form once. Runs inside an Arrow UDF, without a shuffle,
-and so on streams too. operators.tiers has the same lookups as joins, for work over whole corpora.
+worker keeps them in a bounded memo and classifies each form once. Most segments can have no part in any hit,
+wherever they stand: a text is cut into regions around those that can, and only regions are tokenised and matched.
+Runs inside an Arrow UDF, without a shuffle, and so on streams too. operators.tiers has the same lookups as joins,
+for work over whole corpora.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -17,7 +20,9 @@ from ..lexicon import SEVERITIES, Lexicon, Phrase, Word
 from .config import Config
 
 HINDI = "hi-latn"
-MEMO = 300_000
+MEMO = 150_000  # entries of a memo's generation
+LONG = 64  # characters; longer segments are matched every time
+INERT, WORDY, LETTER, ACTIVE = range(4)  # kinds of segments: without a word, with words, with a word of one letter, able to have part in a hit
 _TOKEN = re.compile(f"[{T.WORD}]+(?:[{T.APOSTROPHES}][{T.LATIN}]{{1,20}})?")
 _ELISION = re.compile(f"([A-Za-z])[{T.APOSTROPHES}](.+)", re.DOTALL)
 _CONTRACTION = re.compile(f"([A-Za-z]{{2,}})[{T.APOSTROPHES}](ll|d|ve|re|s|m|t)", re.IGNORECASE)
@@ -164,6 +169,7 @@ class Index:
     widest: int = 2
     first_words: set[str] = field(default_factory=set)
     beginnings: set[str] = field(default_factory=set)
+    folded_beginnings: set[str] = field(default_factory=set)
     contexts: dict[Phrase, Context] = field(default_factory=dict)
     safe: frozenset[str] = frozenset()
 
@@ -189,7 +195,7 @@ def build(lexicon: Lexicon, languages: tuple[str, ...] | None) -> Index:
         told = spoken(own, p.phrase)
         for key in dict.fromkeys([forms.normalize(p.phrase), *([forms.normalize(" ".join(t.value for t in told))] if any(t.rewritten for t in told) else [])]):
             index.phrases[key].append(p)
-            index.beginnings |= {key[:1], key[:2]}
+            index.beginnings.update(key[:n] for n in range(1, len(key) + 1))
         index.widest = max(index.widest, len(own), len(told))
         index.first_words |= {forms.normalize(x[0].value) for x in (own, told) if x}
         if p.at_clause_end or p.not_followed_by or p.not_preceded_by:
@@ -198,6 +204,7 @@ def build(lexicon: Lexicon, languages: tuple[str, ...] | None) -> Index:
             index.contexts[p] = Context(sequences(p.not_followed_by), sequences(p.not_preceded_by), p.at_clause_end, key)
         if p.language == HINDI and (folded := "".join(map(script.phrase_fold, p.phrase.split()))):
             index.folded[folded].append(p)
+            index.folded_beginnings.update(folded[:n] for n in range(1, len(folded) + 1))
             index.folded_widths.add(len(p.phrase.split()))
     return index
 
@@ -205,6 +212,29 @@ def build(lexicon: Lexicon, languages: tuple[str, ...] | None) -> Index:
 # --- scanner --------------------------------------------------------------------------------------------------
 
 
+class Memo:
+    """Bounded: a full generation becomes the old one, and what is asked for again moves to the new one."""
+
+    def __init__(self, make, limit: int = MEMO):
+        self.make, self.limit, self.new, self.old = make, limit, {}, {}
+
+    def get(self, key):
+        found = self.new.get(key, self)
+        if found is self:
+            found = self.old.get(key, self)
+            if found is self:
+                found = self.make(key)
+            if len(self.new) >= self.limit:
+                self.old, self.new = self.new, {}
+            self.new[key] = found
+        return found
+
+
+def _shortened(word: str) -> set[str]:
+    """A word and what is left of it without one letter."""
+    return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))}
+
+
 @dataclass(slots=True)
 class Hit:
     start: int
@@ -224,13 +254,16 @@ class Scanner:
         self.white, self.least = config.lowered(), SEVERITIES.index(config.min_severity)
         self.allowed = None if config.languages is None else set(config.languages)
         self.any_partial = re.compile("|".join(map(re.escape, self.index.partial))) if self.index.partial else None
-        self.folded_starts = {f[:1] for f in self.index.folded}
+        sequences = [x for c in self.index.contexts.values() for x in (*c.after, *c.before)]
+        self.margin = self.index.widest + max(map(len, sequences), default=0) + 3  # words around an active segment that its hits can depend on
         self.near: dict[tuple[int, int], list[tuple[int, str]]] = defaultdict(list)
+        self.shortened: dict[str, list[tuple[int, str]]] = defaultdict(list)
         for letter, others in self.index.by_first.items():
             for order, other in enumerate(others):
                 self.near[(ord(letter or "\0"), len(other))].append((order, other))
-        self.memo: dict[tuple, tuple | None] = {}
-        self.starts: dict[tuple, tuple[bool, bool]] = {}
+                for key in _shortened(other):
+                    self.shortened[key].append((order, other))
+        self.memo, self.starts, self.kinds = Memo(lambda key: self._verdict(*key)), Memo(lambda key: self._beginning(*key)), Memo(self._kind)
 
     # verdicts: (entry, match type, confidence) of a surface form
 
@@ -260,14 +293,19 @@ class Scanner:
         """The most similar canonical word; its entry has to pass, no other is tried. Words of the same first letter
         go before those of its neighbours, and then in the lexicon's order."""
         threshold, best = self.config.threshold, (0.0, 0, 0, "")
+        one_edit = None
         for turn, (step, slack) in enumerate(((0, 2), (-1, 1), (1, 1))):
             for size in range(length - slack, length + slack + 1):
                 edits = int(max(len(word), size) * (1 - threshold))
                 if abs(len(word) - size) > edits or (step and edits < 2):
                     continue
-                for order, other in self.near.get((ord(word[0]) + step, size), ()):
-                    if not edits and other != word:
-                        continue
+                if edits < 2:  # words within one edit are equal after a letter of each, at most, is left out
+                    if one_edit is None:
+                        one_edit = {x for key in _shortened(word) for x in self.shortened.get(key, ())}
+                    others = [x for x in one_edit if len(x[1]) == size and x[1][:1] == word[:1] and (edits or x[1] == word)]
+                else:
+                    others = self.near.get((ord(word[0]) + step, size), ())
+                for order, other in others:
                     score = 1 - forms.levenshtein(word, other) / max(len(word), size)
                     if score >= threshold and (score, -turn, -order) > best[:3]:
                         best = (score, -turn, -order, other)
@@ -317,12 +355,7 @@ class Scanner:
         return None
 
     def verdict(self, value: str, in_word: bool, literal: bool) -> tuple | None:
-        key = (value, in_word, literal)
-        if key not in self.memo:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[key] = self._verdict(value, in_word, literal)
-        return self.memo[key]
+        return self.memo.get((value.lower() if value.isascii() else value, in_word, literal))
 
     # a text
 
@@ -386,18 +419,60 @@ class Scanner:
         return any(runs(s, last, 1) for s in context.after) or any(runs(s[::-1], first, -1) for s in context.before)
 
     def _begins(self, value: str, literal: bool) -> tuple[bool, bool]:
-        """Whether a window that starts with this word can be a phrase, and a folded phrase. Of the first word's
-        normal form, joined to others, only the last character can change, by collapsing or decoding."""
-        key = (value, literal)
-        known = self.starts.get(key)
-        if known is None:
-            plain, index = forms.normalize(value, literal), self.index
-            begins = plain[:2] in index.beginnings or plain[:1] in index.beginnings and len(plain) < 3 or len(plain) < 2
-            folds = self.config.transliteration and script.phrase_fold(value)[:1] in self.folded_starts
-            known = self.starts[key] = (bool(begins), bool(folds))
-            if len(self.starts) > MEMO:
-                self.starts.clear()
-        return known
+        """Whether a window that starts with this word can be a phrase, and a folded phrase. A window's normal form is
+        that of its words, end to end; only digits alone are decoded beside other words."""
+        return self.starts.get((value, literal))
+
+    def _beginning(self, value: str, literal: bool) -> tuple[bool, bool]:
+        plain = forms.normalize(value, literal)
+        every = {plain, forms.collapse(forms.decode(plain, literal), 3, 2)} if plain.isdigit() else {plain}
+        begins = not plain.isascii() or not self.index.beginnings.isdisjoint(every)
+        return begins, self.config.transliteration and script.phrase_fold(value) in self.index.folded_beginnings
+
+    # which segments matter
+
+    def _kind(self, value: str) -> int:
+        """Of a segment, whatever stands around it."""
+        found = tokens(value)
+        phrases = self.config.phrases and bool(self.index.phrases)
+        if phrases and (any(c in value for c in T.APOSTROPHES) or any(t.value.lower() in T.ONE_WORD for t in found)):
+            return ACTIVE
+        ways = (False, True) if _DIGIT.search(value) else (False,)
+        for t in found:
+            if any(self.verdict(t.value, True, way) or (phrases and any(self._begins(t.value, way))) for way in ways):
+                return ACTIVE
+        core = stripped(value)[0]
+        if cut := _CONTRACTION.fullmatch(core):
+            core = cut[1]
+        alone = len(found) == 1 and found[0].value == core and core.isalpha() and forms.normalize(core) == core.lower() and core.lower() not in self.white
+        if core and not alone and any(self.verdict(core, False, way) for way in ways):
+            return ACTIVE
+        return LETTER if any(t.end - t.start == 1 for t in found) else WORDY if found else INERT
+
+    def _regions(self, text: str) -> list[tuple[int, int]]:
+        """Where hits can be, with as many words around as they can depend on."""
+        values = _SEGMENT.findall(text)
+        kinds = list(map(self.kinds.new.get, values))
+        if None in kinds:
+            kinds = [(ACTIVE if len(v) > LONG else self.kinds.get(v)) if k is None else k for v, k in zip(values, kinds)]
+        if kinds.count(LETTER) >= 3:  # three or more in a row may spell a word
+            for k in range(2, len(kinds)):
+                if all(LETTER <= x for x in kinds[k - 2 : k + 1]) and kinds[k - 1] != INERT and LETTER in kinds[k - 2 : k + 1]:
+                    kinds[k - 2 : k + 1] = [ACTIVE] * 3
+        active = [k for k, kind in enumerate(kinds) if kind == ACTIVE]
+        if not active:
+            return []
+        spans = [m.span() for m in _SEGMENT.finditer(text)]
+        worded = [k for k, kind in enumerate(kinds) if kind]
+        out: list[list[int]] = []
+        for k in active:
+            place = bisect_left(worded, k)
+            low, high = worded[max(0, place - self.margin)], worded[min(len(worded) - 1, place + self.margin)]
+            if out and spans[low][0] <= out[-1][1] + 1:
+                out[-1][1] = spans[high][1]
+            else:
+                out.append([spans[low][0], spans[high][1]])
+        return [(a, b) for a, b in out]
 
     def _phrases(self, text: str, found: list[Token]) -> list[Hit]:
         index, hits = self.index, []
@@ -455,11 +530,8 @@ class Scanner:
                     accept(entries, False, first, first + size - 1, start, end)
         return hits
 
-    def detect(self, original: str | None) -> list[Hit]:
-        """Detections in order of their start, without overlaps; offsets in code points of the original."""
-        if not original or not original.strip():
-            return []
-        text, places = forms.fold_with_map(original)
+    def _within(self, text: str) -> list[Hit]:
+        """Detections of a folded text, in order of their start, without overlaps."""
         found = tokens(text)
         spans = [m.span() for m in _SEGMENT.finditer(text)]
         values = [text[a:b] for a, b in spans]
@@ -479,8 +551,28 @@ class Scanner:
             if hit.start >= free:
                 kept.append(hit)
                 free = hit.end
-        if places is not None:
+        return kept
+
+    def detect(self, original: str | None) -> list[Hit]:
+        """Detections in order of their start, without overlaps; offsets in code points of the original."""
+        if not original or not original.strip():
+            return []
+        text = forms.fold(original)
+        kept = []
+        for a, b in self._regions(text):
+            for hit in self._within(text[a:b]):
+                hit.start, hit.end = hit.start + a, hit.end + a
+                kept.append(hit)
+        if kept and text != original:
+            _, places = forms.fold_with_map(original)
             for hit in kept:
                 hit.start, hit.end = places[hit.start], places[hit.end]
                 hit.original = original[hit.start : hit.end]
         return kept
+
+    def flagged(self, original: str | None) -> bool:
+        """Whether there is any detection; ends with the first region that has one."""
+        if not original or not original.strip():
+            return False
+        text = forms.fold(original)
+        return any(self._within(text[a:b]) for a, b in self._regions(text))

@@ -44,8 +44,30 @@ def test_clean_audit_report_evaluate(spark, engine):
 
 def test_empty_table_and_other_columns(spark, engine):
     df = spark.createDataFrame([], "doc_id long, text string, start string, detections int")
-    assert engine.score(df.drop("detections")).count() == 0 and engine.scan(df).count() == 0
-    assert engine.censor(spark.createDataFrame([("a", "idiot")], "censored string, text string")).first().censored == "*****"
+    assert engine.score(df).count() == 0 and engine.scan(df).count() == 0
+
+
+CLASHES = "text string, start string, `end` string, language string, detections string, text_over_limit string, toxicity string, severities string, censored string, is_clean string, _found string, _d string, `a.b` string"
+
+
+@pytest.mark.parametrize("method, made", [("scan", {"detections", "text_over_limit"}), ("detect", None), ("score", {"detections", "text_over_limit", "toxicity", "severities"}), ("censor", {"censored"}), ("is_clean", {"is_clean"})])
+def test_columns_of_clashing_names(spark, engine, method, made):
+    """Result columns replace those of their names; every other column stays as it is."""
+    frame = spark.createDataFrame([("you idiot", *["own"] * 12), (None, *["own"] * 12)], CLASHES)
+    got = getattr(engine, method)(frame)
+    rows = got.collect()
+    assert len(got.columns) == len(set(got.columns)) and len(rows) == (1 if made is None else 2)
+    made = {"text", "start", "end", "language"} if made is None else made
+    for name in set(frame.columns) - made - {"text"}:
+        assert {r[name] for r in rows} == {"own"}, name
+    assert all(r[name] != "own" for r in rows for name in made if name in got.columns)
+
+
+def test_text_columns_with_dots(spark, engine):
+    frame = spark.createDataFrame([("you idiot", 1)], "`my.text` string, y int")
+    assert engine.censor(frame, "my.text").first().censored == "you *****" and not engine.is_clean(frame, "my.text").first().is_clean
+    assert engine.detect(frame, "my.text").first().matched == "idiot" and engine.score(frame, "my.text").first().total_matches == 1
+    assert engine.evaluate(frame, "y", "my.text").first().tp == 1
 
 
 def test_strict(spark, engine):
@@ -60,6 +82,7 @@ def test_sql(spark, engine):
     texts(spark, "you idiot", "fine").createOrReplaceTempView("t")
     rows = spark.sql("select profanity_count(text) n, is_clean(text) c, profanity_censor(text) m, profanity_score(text) s, text_normalize('h3ll0') x from t order by doc_id").collect()
     assert [(r.n, r.c, r.m, round(r.s, 2), r.x) for r in rows] == [(1, False, "you *****", 0.15, "hello"), (0, True, "fine", 0.0, "hello")]
+    assert spark.sql("select profanity_hits('you idiot')[0].matched m").first().m == "idiot"
     assert spark.sql("select t2.matched from t, lateral detect_terms(text) t2").collect()[0].matched == "idiot"
 
 
