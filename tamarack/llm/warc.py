@@ -1,10 +1,14 @@
 """WARC archives of pages: a gzip member per record, revisits for repeated payloads, and a salvage reader.
 
 Writing: payload digests are aggregated map-side to the largest page_id of each payload; that small table is
-joined back by digest (a hot digest splits under adaptive skew joins: it has one row on the other side), and
-each task appends records to a file of its own. Reading: each file is parsed from its start; after a failed
-check the reader looks for the next member or version line that begins a valid record, goes on there, and
-logs the bytes between as quarantined; it does so inside a member as well, also one that is cut off.
+joined back by digest, digests of very many pages by broadcast (there are at most HOT_DIGESTS of them) and the rest
+by shuffle, so no digest is collected in a task; each task appends records to a file of its own. Reading: each
+file is parsed from its start; after a failed check the reader looks for the next member or version line that
+begins a valid record, goes on there, and logs the bytes between as quarantined; it does so inside a member as
+well, also one that is cut off or that zlib finds wrong.
+
+A record's block is checked by its digests, where it has them; this writer's records have a digest of their header
+as well, in its last line.
 
 Defined results: null html is an empty payload; empty payloads count as equal payloads; null page_ids give
 records without the page's header and read back as null; rows that repeat a page_id and its payload are each
@@ -13,6 +17,7 @@ a response when that page_id is the largest; extra columns aren't stored.
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,7 +31,9 @@ from .common import bounded_batches, filesystem, make_dirs, scratch, stored
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"  # of capture; a parameter of the archive, so that reruns write the same bytes
 MAGIC = b"\x1f\x8b\x08"
+FIELD = re.compile(rb"([!-9;-~]+):([\t -~\x80-\xff]*)")
 FILE_BYTES = 64 << 20
+HOT_DIGESTS = 10_000  # a digest of more than one in so many pages is hot; so there are never more of them
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 GAPS = "path string, start long, end long, reason string"
 
@@ -38,26 +45,30 @@ def base32_sha1(payload: bytes) -> str:
 # --- records --------------------------------------------------------------------------------------------------
 
 
+def record_id(page_id: int | None, revisit: bool, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{revisit}:{digest}')}>"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
     """One record, uncompressed. A revisit keeps the HTTP header, with the payload's length, and no payload."""
     digest = base32_sha1(payload)
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block += b"" if revisit else payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{revisit}:{digest}")
     head = [
-        f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {DATE}",
+        f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, revisit, digest)}", f"WARC-Date: {DATE}",
         f"Content-Length: {len(block)}", "Content-Type: application/http; msgtype=response",
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"WARC-Payload-Digest: sha1:{digest}",
     ]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        head.append("WARC-Target-URI: " + re.sub("[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if revisit:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}:False:{digest}')}>")
+        head.append(f"WARC-Refers-To: {record_id(refers_to, False, digest)}")
         head.append(f"X-Refers-To-Page-Id: {refers_to}")
-    return VERSION + b"\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    told = VERSION + b"\r\n" + "\r\n".join(head).encode()
+    return told + f"\r\nX-Header-Digest: sha1:{base32_sha1(told)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
 def member(raw: bytes) -> bytes:
@@ -70,8 +81,26 @@ class Damaged(ValueError):
     pass
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
-    """The record that begins at a version line, checked, and the offset behind it."""
+def _differs(told: str | None, data: bytes) -> bool:
+    """Whether a digest is there, of a kind that can be checked, and another than that of data."""
+    kind, _, value = (told or "").partition(":")
+    if kind.lower() != "sha1":
+        return False
+    return value.upper() != base32_sha1(data) and value.lower() != hashlib.sha1(data, usedforsecurity=False).hexdigest()
+
+
+def _number(x: str | bytes | None) -> int | None:
+    try:
+        value = int(x) if x is not None else None
+    except ValueError as e:
+        raise Damaged("a number that is none") from e
+    if value is not None and not -(2**63) <= value < 2**63:
+        raise Damaged("a number beyond 64 bits")
+    return value
+
+
+def parse(data: bytes, at: int = 0) -> tuple[dict, int, bool]:
+    """The record that begins at a version line, checked; the offset behind it; and whether its block has a digest that was checked."""
     if not data.startswith(b"WARC/1.", at):
         raise Damaged("no version line")
     end = data.find(b"\r\n\r\n", at)
@@ -79,67 +108,69 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
         raise Damaged("header without an end")
     fields = {}
     for line in data[at:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise Damaged("header line without a colon")
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        if not (field := FIELD.fullmatch(line)):
+            raise Damaged("header line that is none")
+        fields[field[1].lower().decode()] = field[2].strip().decode("utf-8", "replace")
     if not (length := fields.get("content-length", "")).isdecimal() or len(length) > 15:
         raise Damaged("no content length")
     start, stop = end + 4, end + 4 + int(length)
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("record doesn't end where its length says")
-    block = data[start:stop]
-    if fields.get("warc-block-digest") != f"sha1:{base32_sha1(block)}":
+    block, told = data[start:stop], fields.get("warc-block-digest")
+    if _differs(told, block):
         raise Damaged("block digest differs")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    sizes = [x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    revisit = fields.get("warc-type") == "revisit"
-    if not revisit and digest != base32_sha1(payload):
+    kind = fields.get("warc-type")
+    http, payload, sizes = b"", block, []
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        sizes = [x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    digest = fields.get("warc-payload-digest")
+    if kind != "revisit" and b"\ntransfer-encoding:" not in http.lower() and _differs(digest, payload):
         raise Damaged("payload digest differs")
-
-    def number(x: str | bytes | None) -> int | None:
-        try:
-            value = int(x) if x is not None else None
-        except ValueError as e:
-            raise Damaged("a number that is none") from e
-        if value is not None and not -(2**63) <= value < 2**63:
-            raise Damaged("a number beyond 64 bits")
-        return value
-
+    digest = digest.partition(":")[2] if digest else base32_sha1(payload)
+    page_id, seal = _number(fields.get("x-page-id")), fields.get("x-header-digest")
+    if _differs(seal, data[at:end].rpartition(b"\r\n")[0]) or (page_id is not None and not seal):
+        raise Damaged("header digest differs")
     return {
-        "page_id": number(fields.get("x-page-id")), "url": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"),
-        "payload_bytes": number(sizes[0]) if sizes else len(payload), "payload_digest": digest,
-        "refers_to": number(fields.get("x-refers-to-page-id")), "payload": None if revisit else payload,
-    }, stop + 4
+        "page_id": page_id, "url": fields.get("warc-target-uri"), "record_type": kind, "payload_bytes": _number(sizes[0]) if sizes else len(payload), "payload_digest": digest,
+        "refers_to": _number(fields.get("x-refers-to-page-id")), "payload": None if kind == "revisit" else payload,
+    }, stop + 4, (told or "").lower().startswith("sha1:")
 
 
 STEP = 1 << 16
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int, bool]:
-    """What a member holds, the offset behind, and whether it is cut off; then the bytes are those before the cut.
-    Of a member that zlib finds wrong nothing is taken: its checksum is the only one that record headers have."""
+def _member(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """What a member holds, the offset behind it, and what is wrong with it; then the bytes are those before the fault."""
     unpack, out = zlib.decompressobj(31), []
     while not unpack.eof:
         if at >= len(data):
-            return b"".join(out), at, True
-        part = data[at : at + STEP]
+            return b"".join(out), at, "gzip: member is cut off"
+        part, before = data[at : at + STEP], unpack.copy()
         try:
             out.append(unpack.decompress(part))
         except zlib.error as e:
-            raise Damaged(f"gzip: {e}") from e
+            for k in range(len(part)):  # what can be had of this step before the fault
+                try:
+                    out.append(before.decompress(part[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), at, f"gzip: {e}"
         at += len(part)
-    return b"".join(out), at - len(unpack.unused_data), False
+    return b"".join(out), at - len(unpack.unused_data), None
 
 
-def _inside(raw: bytes) -> tuple[list[dict], str | None]:
-    """The valid records of decompressed bytes, and what is wrong with the first that isn't."""
+def _inside(raw: bytes, sound: bool) -> tuple[list[dict], str | None]:
+    """The valid records of decompressed bytes, and what is wrong with the first that isn't. Where the member isn't
+    sound, a record has to have a block digest."""
     found, at, wrong = [], 0, None
     while 0 <= at < len(raw):
         try:
-            one, at = parse(raw, at)
+            one, behind, checked = parse(raw, at)
+            if not (sound or checked):
+                raise Damaged("no digest in a damaged member")
             found.append(one)
+            at = behind
         except Damaged as e:
             wrong, at = wrong or str(e), raw.find(b"WARC/1.", at + 1)
     return found, wrong
@@ -149,14 +180,15 @@ def _one(data: bytes, view: memoryview, at: int) -> tuple[list[dict], int, str |
     """The records of the member, or the plain record, that begins at an offset; the offset behind; what is wrong
     with some of them; whether the offset behind is sure."""
     if not data.startswith(MAGIC, at):
-        found, at = parse(data, at)
+        found, at, _ = parse(data, at)
         return [found], at, None, True
-    raw, end, cut = _member(view, at)
-    found, wrong = _inside(raw)
-    wrong = "gzip: member is cut off" if cut else wrong
-    if wrong and not found:
-        raise Damaged(wrong)
-    return found, end, wrong, not cut
+    if at + 3 >= len(data) or data[at + 3] & 0xE0:
+        raise Damaged("gzip: no member's header")
+    raw, end, fault = _member(view, at)
+    found, wrong = _inside(raw, fault is None)
+    if (fault or wrong) and not found:
+        raise Damaged(fault or wrong)
+    return found, end, fault or wrong, fault is None
 
 
 def salvage(data: bytes) -> Iterator[dict | tuple[int, int, str]]:
@@ -164,7 +196,7 @@ def salvage(data: bytes) -> Iterator[dict | tuple[int, int, str]]:
     passes all checks. A gap may be a member that some records were recovered from."""
     view, at, size = memoryview(data), 0, len(data)
     start, reason = None, ""
-    had: list[dict] = []  # records of cut-off members, which the raw bytes before `until` may show again
+    had: list[dict] = []  # records of faulty members, which the raw bytes before `until` may show again
     until = 0
     while at < size:
         try:
@@ -189,7 +221,7 @@ def salvage(data: bytes) -> Iterator[dict | tuple[int, int, str]]:
             start, at = None, behind
             continue
         if found:
-            had, until = had + found, max(until, behind)
+            had, until = had + found, max(until, behind + STEP)
         at = min((x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0), default=size)
     if start is not None:
         yield start, size, reason
@@ -206,8 +238,14 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFr
     folder = make_dirs(spark, folder or scratch(spark, "warc"))
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
-    keepers = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "keeper")
-    told = rows.join(keepers, "digest", "left").select("page_id", "url", "payload", "keeper", (F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))).alias("revisit"))
+    keepers = stored(rows.where(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "warc-keepers")
+    many = (keepers.agg(F.sum("copies")).first()[0] or 0) // HOT_DIGESTS
+    hot = F.broadcast(keepers.where(F.col("copies") > F.greatest(F.lit(many), F.lit(HOT_DIGESTS))).select("digest", F.col("keeper").alias("hot")))  # HOT_DIGESTS rows at most
+    met = rows.join(hot, "digest", "left")
+    alone = F.sha1(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))  # a key that no digest is, so that rows that are settled already spread
+    keyed = met.withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), alone)))
+    told = keyed.join(keepers.select(F.col("digest").alias("key"), "keeper"), "key", "left").withColumn("keeper", F.coalesce("hot", "keeper"))
+    told = told.select("page_id", "url", "payload", "keeper", (F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
