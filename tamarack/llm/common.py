@@ -67,8 +67,13 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith(("file:", "/")) else os.path.abspath(path))
 
 
+def named(name: str) -> Column:
+    """A column by its name as it is, also with dots in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_of(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+    return F.coalesce(named(name), F.lit(""))
 
 
 def let(value: Column, use) -> Column:

@@ -51,8 +51,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    found = mixing.mix(_table(spark, sf_dir, "documents"), carried=["doc_id"])
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("places")).alias("taken"), "places")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,20 +164,98 @@ def test_salvage():
 # --- 7 --------------------------------------------------------------------------------------------------------
 
 
+def brute_targets(sizes):
+    """Water-filling, by repeated sharing."""
+    weights = [(3, 1, 2)[k % 3] for k in range(len(sizes))]
+    out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), 1.5 * sum(sizes)
+    while open_:
+        total = sum(weights[k] for k in open_)
+        full = {k for k in open_ if left * weights[k] / total > 2 * sizes[k]}
+        for k in full or open_:
+            out[k] = float(2 * sizes[k]) if full else left * weights[k] / total
+        if not full:
+            break
+        left -= sum(out[k] for k in full)
+        open_ -= full
+    return out
+
+
+def mix_checked(rows, shards=None):
+    """Of a mix's rows: sizes and targets are right, no document is taken too often, each source comes near its target."""
+    by_source = {}
+    for r in rows:
+        assert r["size"] == len(WORD.findall(r["text"] or "")) and r["taken"] == r["size"] * len(r["places"]) <= 2 * r["size"] and len(r["places"]) == r["copies"]
+        by_source.setdefault(r["source"], []).append(r)
+    order = sorted(by_source, key=lambda s: (s is None, s or ""))
+    goals = brute_targets([sum(r["size"] for r in by_source[s]) for s in order])
+    for s, goal in zip(order, goals):
+        own = by_source[s]
+        assert len({r["target"] for r in own}) == 1 and own[0]["target"] == pytest.approx(goal) and {r["source_size"] for r in own} == {sum(r["size"] for r in own)}
+        miss = abs(sum(r["taken"] for r in own) - goal)
+        left = [r["size"] for r in own if r["size"] and r["copies"] == min(x["copies"] for x in own)]
+        assert miss <= max(left) / 2, (s, miss)
+        if len(own) < 2 * mixing.BLOCK_DOCS:  # one block: the smallest document left decides
+            assert miss <= min(left) / 2 or goal == 2 * sum(r["size"] for r in own), (s, miss)
+
+
 def test_mixing(docs, real, nothing):
     for frame in (docs, real):
         rows = mixing.mix(frame).collect()
-        assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(frame.repartition(5)).collect()))
-        sizes, taken, goal, most = {}, {}, {}, {}
-        for r in rows:
-            s = r["source"]
-            assert r["size"] == len(WORD.findall(r["text"] or "")) and r["taken"] <= 2 * r["size"] and len(r["places"]) == r["copies"]
-            sizes[s], taken[s] = sizes.get(s, 0) + r["size"], taken.get(s, 0) + r["taken"]
-            goal[s], most[s] = r["target"], max(most.get(s, 0), r["size"])
-        order = sorted(sizes, key=lambda s: (s is None, s or ""))
-        assert [goal[s] for s in order] == pytest.approx(mixing.targets([sizes[s] for s in order], mixing.weigh(len(order))))
-        assert all(abs(taken[s] - goal[s]) <= 2 * most[s] for s in order)
+        known = lambda rows: sorted(str((r["doc_id"], r["text"], r["source"], r["taken"], r["places"])) for r in rows)
+        assert known(rows) == known(mixing.mix(frame.repartition(5)).collect())
+        mix_checked(rows)
     assert mixing.mix(nothing).count() == 0 and mixing.mixed(docs).columns == docs.columns
+    taken = {}
+    for r in mixing.mix(real).collect():
+        taken[r["doc_id"]] = r["copies"]
+    got = [r["doc_id"] for r in mixing.mixed(real).collect()]
+    assert {d: got.count(d) for d in taken} == taken
+
+
+def test_mixing_many_documents_and_last_blocks(spark, monkeypatch):
+    """More documents than blocks, and last blocks that are cut again."""
+    rows = [(i, "w " * (1 + i * 7919 % 50), "abc"[i % 7 % 3] if i % 11 else None) for i in range(9000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    mix_checked(mixing.mix(frame).collect())
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 8)
+    monkeypatch.setattr(mixing, "LAST", 40)
+    mix_checked(mixing.mix(frame).collect())
+
+
+def test_mixing_equal_rows(spark):
+    """A thousand equal rows are a thousand documents."""
+    frame = spark.createDataFrame([(1, "a b c", "x")] * 1000 + [(i, "d e f g", "y") for i in range(2, 400)], "doc_id long, text string, source string").repartition(6)
+    rows = mixing.mix(frame).collect()
+    mix_checked(rows)
+    for s in "xy":
+        own = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 2, s
+    assert sorted(len(r["places"]) for r in rows) == sorted(len(r["places"]) for r in mixing.mix(frame.repartition(3)).collect())
+
+
+def test_mixing_goes_through_the_tree(spark, monkeypatch):
+    """Places are the tree's leaves: shards have even numbers of draws, of every source near its share, and what a tree
+    loses is not taken."""
+    frame = spark.createDataFrame([(i, "w " * (1 + i % 5), "abc"[i % 3]) for i in range(6000)], "doc_id long, text string, source string")
+    leaves = []
+    tree = mixing.split
+
+    def seen(*args):
+        for leaf in tree(*args):
+            leaves.append(leaf)
+            yield leaf
+
+    monkeypatch.setattr(mixing, "split", seen)
+    rows = mixing.mix(frame, shards=5).collect()
+    quotas = sum(int(d.sum()) for _, _, d in leaves)
+    assert [s for s, _, _ in leaves] == list(range(5)) and max(d.sum() for _, _, d in leaves) - min(d.sum() for _, _, d in leaves) <= 3
+    in_shard = [sum(r["size"] * r["places"].count(s) for r in rows) for s in range(5)]
+    assert sum(in_shard) == sum(r["taken"] for r in rows) and max(in_shard) < 1.2 * min(in_shard) and quotas > 100
+    monkeypatch.setattr(mixing, "split", lambda *args: (leaf for leaf in tree(*args) if leaf[0] != 3))
+    fewer = mixing.mix(frame, shards=5).collect()
+    assert sum(r["taken"] for r in fewer) == pytest.approx(sum(in_shard) - in_shard[3], rel=0.05)
+    monkeypatch.setattr(mixing, "split", lambda quotas, *args: iter([(0, np.arange(len(quotas)), quotas)]))
+    assert {p for r in mixing.mix(frame, shards=5).collect() for p in r["places"]} == {0}
 
 
 def test_salvage_inside_a_member():
@@ -271,8 +349,14 @@ def test_targets_and_split():
     assert mixing.targets([100, 100, 100], [3, 1, 2]) == pytest.approx([200, 250 / 3, 500 / 3])
     assert mixing.targets([], []) == [] and mixing.targets([0, 10], [3, 1]) == [0, 15]
     quotas = np.array([50, 7, 0, 20])
-    leaves = mixing.split(quotas, 7, np.random.default_rng(1))
-    assert len(leaves) == 7 and (sum(leaves) == quotas).all() and max(x.sum() for x in leaves) - min(x.sum() for x in leaves) <= 2
+    leaves = list(mixing.split(quotas, 7, np.random.default_rng(1)))
+    total = np.zeros(4, int)
+    for _, sources, draws in leaves:
+        total[sources] += draws
+    sums = [d.sum() for _, _, d in leaves]
+    assert [s for s, _, _ in leaves] == list(range(7)) and (total == quotas).all() and max(sums) - min(sums) <= 2
+    assert list(mixing.split(np.zeros(3, int), 4, np.random.default_rng(1))) == []
+    assert mixing.nearest(np.array([5, 3, 9, 0]), 8.0).tolist() == [True, True, False, False] and mixing.nearest(np.array([9]), 5.0).tolist() == [True] and not mixing.nearest(np.array([9]), 4.0).any()
 
 
 # --- 5 --------------------------------------------------------------------------------------------------------
