@@ -12,7 +12,10 @@ one place: pieces meet others of their anchor only.
    equal pieces are found by their hash; where an anchor has different pieces, their windows, which are suffixes
    of the pieces, are sorted: a mergesort whose comparisons find the common extension of two suffixes by binary
    search over polynomial prefix hashes, in a logarithmic number of steps. Neighbours with a common extension of
-   a whole window, and pieces taken as equal, are then compared byte by byte, so no collision gets through.
+   a whole window, and pieces taken as equal, are then compared byte by byte, so no collision gets through. Windows
+   whose hash no other one of the bucket has can't be repeats and aren't sorted.
+   Pieces of an anchor that more than HOT_ROWS rows have are sent as single windows, by the window's own hash, the
+   least doc_id of each only: a phrase in millions of documents, in ever other surroundings, goes to all buckets.
 3. Marked ranges go back to their part; a last pass joins and cuts them.
 
 Defined results: null or empty text has no bytes; texts shorter than a window lose nothing; rows with a null
@@ -36,6 +39,7 @@ from .parts import Known, bucket_bits, by_part, frequencies, side, stage
 WINDOW = 50
 ANCHOR = 24
 FLUSH_BYTES = 3 << 20
+HOT_ROWS = 20_000
 _LOW = 32  # bits for a position in a batch: texts of up to 4 GB
 
 
@@ -73,6 +77,14 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)
 
 
+def _slices(weights: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of items with a total weight of about `most` each."""
+    if len(weights):
+        of = np.cumsum(weights) // most
+        edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(weights)]
+        yield from (slice(a, b) for a, b in zip(edges, edges[1:]))
+
+
 # --- suffix sort ----------------------------------------------------------------------------------------------
 
 
@@ -172,6 +184,12 @@ def duplicated(data: np.ndarray, start: np.ndarray, length: np.ndarray, anchor:
     windows = length[heads[chosen]] - WINDOW + 1
     own = np.repeat(chosen, windows)
     at = _ranges(start[heads[chosen]], windows)
+    hashed = prefix.of(at, at + WINDOW)
+    by_hash = np.argsort(hashed, kind="stable")
+    alike = hashed[by_hash][1:] == hashed[by_hash][:-1]
+    met = np.zeros(len(at), bool)
+    met[by_hash[1:][alike]] = met[by_hash[:-1][alike]] = True
+    own, at = own[met], at[met]
     back = start[heads[own]] + anchor[heads[own]] - at  # the anchor's offset in the window
     pre = np.lexsort((at, back, group_of[own]))
     own, at, back = own[pre], at[pre], back[pre]
@@ -304,13 +322,24 @@ def marks(staged: DataFrame, representatives: str) -> str:
                 held, size = [], 0
             part, batch = own, taking_part(batch)
             data, offsets = batch_bytes(_column(batch, "text"))
-            row, start, length, at, hashes = pieces(data, offsets, PrefixHash(data))
-            shared = counts.of(hashes) > 1
+            prefix = PrefixHash(data)
+            row, start, length, at, hashes = pieces(data, offsets, prefix)
+            often = counts.of(hashes)
+            shared = often > 1
             row, start, length, at, hashes = (x[shared] for x in (row, start, length, at, hashes))
             if len(row):
-                rid = _column(batch, "rid").to_numpy() & ((1 << 33) - 1)
-                held.append((rid[row], _column(batch, "doc_id").to_numpy()[row], start - offsets[row], length, at - start, hashes, data[_ranges(start, length)]))
-                size += int(length.sum())
+                rid, docs = _column(batch, "rid").to_numpy() & ((1 << 33) - 1), _column(batch, "doc_id").to_numpy()
+                hot = often[shared] > HOT_ROWS
+                whole = ~hot
+                if whole.any():
+                    r, s, n = row[whole], start[whole], length[whole]
+                    held.append((rid[r], docs[r], s - offsets[r], n, at[whole] - s, hashes[whole], data[_ranges(s, n)]))
+                    size += int(n.sum())
+                for k in _slices(length[hot] - WINDOW + 1, FLUSH_BYTES // WINDOW):
+                    r, s, n = row[hot][k], start[hot][k], length[hot][k] - WINDOW + 1
+                    r, s, a = np.repeat(r, n), _ranges(s, n), np.repeat(at[hot][k], n)
+                    n = np.full(len(s), WINDOW)
+                    yield flush(part, [(rid[r], docs[r], s - offsets[r], n, a - s, mix64(prefix.of(s, s + WINDOW)), data[_ranges(s, n)])])
         if held:
             yield flush(part, held)
 

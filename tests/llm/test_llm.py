@@ -460,6 +460,37 @@ def test_suffix(docs, real, nothing):
     assert set(docs.columns) <= set(suffix.remove(docs).columns) and suffix.remove(nothing).count() == 0
 
 
+def test_suffix_hot_anchors(spark, docs, real, monkeypatch):
+    """Anchors of many rows go by windows; the result is the same."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared = [letters(30), letters(45), letters(60)]
+    rows = [(i, letters(rng.randint(0, 90)) + rng.choice(shared) + letters(rng.randint(0, 90)) + rng.choice(shared)) for i in range(120)]
+    family = spark.createDataFrame([*rows, rows[5], rows[6]], "doc_id long, text string").repartition(5)
+    for hot in (2, 20):
+        monkeypatch.setattr(suffix, "HOT_ROWS", hot)
+        for frame in (docs, real, family):
+            got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.remove(frame).collect()), key=str)
+            assert got == brute_suffix(pairs(frame))
+
+
+def test_suffix_one_anchor_in_many_surroundings():
+    """Near-linear in the pieces of one anchor."""
+    import time
+
+    rng = np.random.default_rng(4)
+    seconds = {}
+    for n in (8_000, 32_000):
+        data = rng.integers(97, 123, n * 76, dtype=np.uint8).reshape(n, 76)
+        data[:, 26:50] = np.frombuffer(b"the shared anchor bytes!", np.uint8)
+        data[n // 2 :: 9] = data[: len(data[n // 2 :: 9])]
+        begun = time.perf_counter()
+        piece, lo, hi = suffix.duplicated(data.ravel(), np.arange(n) * 76, np.full(n, 76), np.full(n, 26), np.arange(n))
+        seconds[n] = time.perf_counter() - begun
+        assert sorted(piece.tolist()) == list(range(n // 2, n, 9)) and (lo == 0).all() and (hi == 76).all()
+    assert seconds[32_000] < 2
+
+
 def test_suffix_sort():
     rng = random.Random(3)
     data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(3000)), np.uint8)
