@@ -6,14 +6,18 @@
    shared: a document with fewer than ceil(0.75 n) others links with nothing and goes no further. The rest get
    a prefix: two documents that link share at least l of the first n - ceil(0.75 n) + l shingles of each. Every
    document takes the l, of LEVELS, with the least estimated cost: index entries, plus candidates, that is the
-   frequencies in the prefix divided by l.
-3. Candidates are pairs of documents under one prefix shingle that share min(l) prefix shingles, agree in size,
-   and pass a bound on the symmetric difference from parity bitmaps, all exact filters; their sets are compared.
+   frequencies in the prefix divided by l. With documents of its own size or larger a document shares 6/7 of its
+   shingles, so against those a shorter prefix, its head, will do.
+3. Candidates are pairs of documents under one shingle, in the head of the smaller one and the prefix of the
+   other, that share min(l) such shingles, agree in size, and pass a bound on the symmetric difference from parity
+   bitmaps, all exact filters; their sets are compared. Documents of one template that have more of their own than
+   links allow have none of the template in their heads, so a family that doesn't link makes no pairs.
    join() takes all of them and so has every link; a large group is paired block by block, and its pairs grow with
    the square of its size, as its links may.
 4. connect() is for components alone and leaves out links that can't change them: in a few rounds, members of a
    group are chained, each to the one before in an order of that shingle's own; verified links are contracted to
-   components, and groups inside one component drop out. Last come all candidates across components.
+   components, and groups inside one component drop out. Last come all candidates across components, a large group
+   block by block as in join().
 
 Nothing is capped. join() compares every candidate; connect() only those whose sides no component joins yet, so
 its components are those of join(), its links a part of them. Hashes have 64 bits.
@@ -84,6 +88,11 @@ def _needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
+def _needed_of_smaller(n: int) -> int:
+    """Shingles that a set of n shares with any set of its own size or larger that it links with."""
+    return -(-2 * PERCENT * n // (100 + PERCENT))
+
+
 def _level(counts: np.ndarray, n: int, alone: int) -> tuple[int, int]:
     """(l, prefix entries) of least cost for a document whose shared shingles' frequencies ascend; alone: shingles it shares with none."""
     candidates = np.concatenate(([0], np.cumsum(counts - 1.0)))
@@ -125,7 +134,7 @@ def _sets(staged: DataFrame) -> DataFrame:
 
 
 def _indexed(staged: DataFrame, known: str, representatives: str) -> DataFrame:
-    """Representatives that can link: rid, n, level, prefix (hashes), tokens (shared hashes, ascending), bitmap."""
+    """Representatives that can link: rid, n, level, prefix (hashes; the first `heads` of it are the head), tokens (shared hashes, ascending), bitmap."""
     bits = bucket_bits(staged.sparkSession)
 
     def open_part(part: int):
@@ -149,12 +158,13 @@ def _indexed(staged: DataFrame, known: str, representatives: str) -> DataFrame:
                 if level:
                     odd = np.bincount((tokens >> np.uint64(13)).astype(np.int64) & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
                     bitmap = np.packbits(odd.astype(np.uint8)).view(np.int64)
-                    rows.append((int(rids[row]), n, level, tokens[order[:entries]].view(np.int64), tokens.tobytes(), bitmap))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["rid", "n", "level", "prefix", "tokens", "bitmap"])
+                    heads = n - _needed_of_smaller(n) + level - (n - len(tokens))
+                    rows.append((int(rids[row]), n, level, heads, tokens[order[:entries]].view(np.int64), tokens.tobytes(), bitmap))
+            cols = list(zip(*rows)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["rid", "n", "level", "heads", "prefix", "tokens", "bitmap"])
 
-    found = staged.select("rid", "part", "text").mapInArrow(run, "rid long, n long, level int, prefix array<long>, tokens binary, bitmap array<long>")
+    found = staged.select("rid", "part", "text").mapInArrow(run, "rid long, n long, level int, heads long, prefix array<long>, tokens binary, bitmap array<long>")
     return stored(found, "jaccard-index")
 
 
@@ -196,29 +206,35 @@ def _prepared(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     index = _indexed(staged, known, representatives)
 
     alone = (F.col("n") - F.expr("length(tokens) / 8").cast("long")).alias("alone")
-    entries = index.select("rid", "n", "level", alone, "bitmap", F.explode("prefix").alias("token"))
+    entries = index.select("rid", "n", "level", alone, "bitmap", "heads", F.posexplode("prefix").alias("place", "token")).withColumn("head", F.col("place") < F.col("heads")).drop("heads", "place")
     sizes = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     entries = stored(entries.join(sizes, "token"), "jaccard-entries")
     return staged, sets, classes, index, entries
 
 
-def _candidates(x: DataFrame, y: DataFrame, on: list[str], apart: Column) -> DataFrame:
-    """Pairs (a, b) of entries x and y, columns x_... and y_..., that meet on some keys and pass the exact filters."""
-    met = x.join(y, on).where((F.col("x_rid") < F.col("y_rid")) & apart & _possible("x", "y"))
-    shared = met.groupBy(F.col("x_rid").alias("a"), F.col("y_rid").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.first(F.least("x_level", "y_level")).alias("level"))
-    return shared.where("common >= level").select("a", "b")
+def _candidates(entries: DataFrame, apart: Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a, b) of entries that meet under a token, in the head of the smaller one, and pass the exact filters. Two
+    members of a group meet once, under the pair of their blocks, so that a hot group is many tasks. apart: a further
+    condition, on columns x_... and y_... of ABOUT and `also`."""
+    groups = entries.groupBy("token").agg(F.count_if("head").alias("heads"), F.count(F.lit(1)).alias("all")).where("heads > 0 and `all` > 1")
+    rows = entries.join(groups, "token")
+    cut = lambda c: F.ceil(F.col(c) / BLOCK)
+    own = lambda c: F.pmod(F.xxhash64(F.lit(0), "rid"), cut(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), cut(c) - 1))
+    named = lambda side: (F.col(c).alias(f"{side}_{c}") for c in (*ABOUT, *also))
+    x = rows.where("head").select("token", own("heads").alias("i"), every("all").alias("j"), *named("x"))
+    y = rows.select("token", every("heads").alias("i"), own("all").alias("j"), *named("y"))
+    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_rid") < F.col("y_rid")))
+    met = x.join(y, ["token", "i", "j"]).where(smaller & _possible("x", "y"))
+    met = met if apart is None else met.where(apart)
+    shared = met.groupBy("x_rid", "y_rid").agg(F.count(F.lit(1)).alias("common"), F.first(F.least("x_level", "y_level")).alias("level")).where("common >= level")
+    return shared.select(F.least("x_rid", "y_rid").alias("a"), F.greatest("x_rid", "y_rid").alias("b"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Found:
     """Find all links of docs."""
     staged, sets, classes, index, entries = _prepared(docs, key, text)
-    # Two members of a group meet once, under the pair of their blocks, so that a hot group is many tasks.
-    blocks = F.ceil(F.col("size") / BLOCK)
-    every = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    own = F.pmod(F.xxhash64(F.lit(0), "rid"), blocks)
-    x = entries.select("token", own.alias("i"), every.alias("j"), *(F.col(c).alias(f"x_{c}") for c in ABOUT))
-    y = entries.select("token", every.alias("i"), own.alias("j"), *(F.col(c).alias(f"y_{c}") for c in ABOUT))
-    pairs = stored(_candidates(x, y, ["token", "i", "j"], F.lit(True)), "jaccard-pairs")
+    pairs = stored(_candidates(entries), "jaccard-pairs")
     links = stored(_verified(pairs, index), "jaccard-links")
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     classes = stored(classes.join(ends, "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))), "jaccard-counted")
@@ -257,8 +273,7 @@ def connect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Found:
         open_entries = entries.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         mixed = open_entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
         open_entries = stored(open_entries.join(mixed, "token"), "jaccard-open")
-    x, y = (open_entries.select("token", *(F.col(c).alias(f"{s}_{c}") for c in [*ABOUT, "root"])) for s in "xy")
-    across = _candidates(x, y, ["token"], F.col("x_root") != F.col("y_root"))
+    across = _candidates(open_entries, F.col("x_root") != F.col("y_root"), ("root",))
     pairs = stored(across.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     more = stored(_verified(pairs, index), "jaccard-more")
     links = links.union(more)

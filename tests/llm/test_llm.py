@@ -422,6 +422,25 @@ def test_jaccard_links(spark, docs, real, nothing, monkeypatch):
     assert jaccard.linked(jaccard.join(nothing)).count() == 0
 
 
+def test_jaccard_families_that_nearly_link(spark, monkeypatch):
+    """Pages of a template, a fifth of each its own: none link, and no pairs are made. Beside them some that do."""
+    template = prose(3, 400).split()
+    rows = [(i, " ".join(template + [f"own{i}x{k}" for k in range(90)])) for i in range(3000)]
+    rows += [(5000 + i, " ".join(template + [f"own{i}x{k}" for k in range(88)] + ["and", f"more{i}"])) for i in range(20)]
+    verified, seen = jaccard._verified, []
+
+    def counted(pairs, index):
+        seen.append(pairs.count())
+        return verified(pairs, index)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for found in (jaccard.join(frame), jaccard.connect(frame)):
+        parts = {r["doc_id"]: r["component_id"] for r in jaccard.labelled(found).collect()}
+        assert {d: c for d, c in parts.items() if d != c} == {5000 + i: i for i in range(20)}
+    assert sum(seen) < 20_000
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
     assert {(r["node"], r["root"]) for r in components.components(links).collect()} == {(i, 0) for i in range(41)} | {(i, 100) for i in (100, 101, 102)}
