@@ -6,8 +6,8 @@ table. Pairs of features are then ranked by what four quadrants over both gain o
 are boosted the same way into two-dimensional tables. A score is an intercept plus one table entry for each
 feature and pair, vectorised over rows.
 
-The model is fitted on the driver from at most TRAIN_ROWS labelled rows, those of the smallest hashes; their
-features, not their texts, are collected. Scoring is one Arrow scan with tables of a few kilobytes.
+The model is fitted on the driver from at most TRAIN_ROWS labelled rows, those of the smallest hashes, so that
+the same tables give the same model; their features, not their texts, are collected. Scoring is one Arrow scan with tables of a few kilobytes.
 
 Defined results: null or empty text has features of its own (all 0) and gets a score; null labels aren't
 learned from; without labelled rows every score is 0.5; labels of one class give that class; rows that repeat
@@ -206,8 +206,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     bounded_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
     n = known.count()
-    share = min(1.0, 1.05 * rows / max(n, 1))
-    chosen = known.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) <= int(share * (1 << 30))).limit(rows)
+    share = min(1.0, 2 * rows / max(n, 1))  # so that few rows more than needed are sorted
+    place = F.pmod(F.xxhash64("_key"), F.lit(1 << 30))
+    chosen = known.where(place <= int(share * (1 << 30))).orderBy(place, "_key", "_label").limit(rows)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
@@ -215,7 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
             yield pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
 
     joined = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text")).join(F.broadcast(chosen), "_key")  # `rows` bounds it
-    found = joined.withColumn("_x", F.arrow_udf(run, "array<double>")("_text")).select("_x", "_label").limit(4 * rows).toPandas()
+    told = joined.select("_key", "_label", F.xxhash64("_text").alias("_hash"), F.arrow_udf(run, "array<double>")("_text").alias("_x"))
+    found = told.orderBy(place, "_key", "_label", "_hash").limit(rows).select("_x", "_label").toPandas()
     x = np.array(found["_x"].tolist(), float).reshape(-1, len(FEATURES))
     y = found["_label"].to_numpy(float)
     order = np.lexsort((*x.T, y))  # the same model whatever order rows arrive in
