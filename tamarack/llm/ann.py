@@ -18,6 +18,7 @@ k + 1 smallest vec_ids are scored, which loses nothing; an empty table gives an
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +32,21 @@ SAMPLE = 16_384
 PAIR = 2  # components to a four-bit code
 PARALLEL = 4.0
 ROUNDS = 6
-SLAB = 32_768
+SLAB = 32_768  # rows, fewer if they have more than SLAB_BYTES
+SLAB_BYTES = 64 << 20
+SOLVED = 32  # pairs whose centres are solved for at once
 QUERY_BLOCK = 64
 CANDIDATES = 256
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: exact, and no square over- or underflows."""
+    if not x.size:
+        return x
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    return np.ldexp(x, -exponent)
+
+
 class Codebooks:
     """centres: (pairs, 16, 2). Vectors are padded with a zero to an even length."""
 
@@ -56,6 +67,7 @@ class Codebooks:
 
     @staticmethod
     def pad(x: np.ndarray) -> np.ndarray:
+        x = scaled(x)
         x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
         return np.pad(x, ((0, 0), (0, -x.shape[1] % PAIR)))
 
@@ -81,20 +93,27 @@ class Codebooks:
         return codes
 
     def _solve(self, parts: np.ndarray, codes: np.ndarray) -> None:
-        """The centres of least loss for these codes: one linear system over all pairs."""
+        """The centres of less loss for these codes: a linear system for SOLVED pairs at a time, the others held."""
         n, m = codes.shape
-        size = m * 16 * PAIR
-        at = ((np.arange(m)[None, :] * 16 + codes) * PAIR)[:, :, None] + np.arange(PAIR)
-        a, b, counts = np.zeros((size, size)), np.zeros(size), np.zeros(size)
-        for lo in range(0, n, 4096):
-            rows = at[lo : lo + 4096].reshape(-1, m * PAIR)
-            g = np.zeros((len(rows), size))
-            np.put_along_axis(g, rows, parts[lo : lo + 4096].reshape(len(rows), -1), 1)
-            a += (PARALLEL - 1) * g.T @ g
-            b += PARALLEL * g.sum(0)
-            counts += np.bincount(rows.ravel(), minlength=size)
-        a[np.diag_indices(size)] += counts + 1e-3
-        self.centres = np.linalg.solve(a, b + 1e-3 * self.centres.ravel()).reshape(self.centres.shape)
+        along = 1.0 - sum(np.einsum("id,id->i", parts[:, k], c[codes[:, k]]) for k, c in enumerate(self.centres))
+        for first in range(0, m, SOLVED):
+            own = np.arange(first, min(m, first + SOLVED))
+            size = len(own) * 16 * PAIR
+            for k in own:
+                along += np.einsum("id,id->i", parts[:, k], self.centres[k][codes[:, k]])
+            a, b, counts = np.zeros((size, size)), np.zeros(size), np.zeros(size)
+            for lo in range(0, n, 4096):
+                rows = (((own - first) * 16 + codes[lo : lo + 4096, own]) * PAIR)[:, :, None] + np.arange(PAIR)
+                rows = rows.reshape(len(rows), -1)
+                g = np.zeros((len(rows), size))
+                np.put_along_axis(g, rows, parts[lo : lo + 4096, own].reshape(len(rows), -1), 1)
+                a += (PARALLEL - 1) * g.T @ g
+                b += (PARALLEL - 1) * g.T @ along[lo : lo + 4096] + g.sum(0)
+                counts += np.bincount(rows.ravel(), minlength=size)
+            a[np.diag_indices(size)] += counts + 1e-3
+            self.centres[own] = np.linalg.solve(a, b + 1e-3 * self.centres[own].ravel()).reshape(len(own), 16, PAIR)
+            for k in own:
+                along -= np.einsum("id,id->i", parts[:, k], self.centres[k][codes[:, k]])
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """(bytes, 256, queries): the score that each value of a code byte, two codes, adds; 16-bit integers of one scale."""
@@ -117,6 +136,7 @@ def packed(codes: np.ndarray) -> np.ndarray:
 
 def best(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, books: Codebooks, k: int):
     """(query, vec_id, score) arrays: each query's k best rows of a slab, by table scan and exact reranking. ids ascend."""
+    vectors, queries = scaled(vectors), scaled(queries)
     norms = np.sqrt((vectors * vectors).sum(1))
     tables = books.tables(queries)
     sums = np.zeros((len(ids), len(queries)), np.int32)
@@ -150,12 +170,14 @@ def _thinned(ids: np.ndarray, vectors: np.ndarray, keep: int) -> np.ndarray:
 
 
 def valid(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id and embedding (doubles) of the rows that take part, and their length n; lengths other than the commonest are left out."""
+    """vec_id and embedding (doubles) of the rows that take part; those of other lengths than the commonest don't, with a warning."""
     x = F.col("embedding")
     odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~odd & F.exists(x, lambda v: v != 0.0))
-    lengths = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    lengths = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(2).collect()
+    if len(lengths) > 1:
+        warnings.warn(f"vectors of other lengths than {lengths[0]['n']} take no part", stacklevel=2)
     return rows.where(F.size("embedding") == (lengths[0]["n"] if lengths else 0))
 
 
@@ -169,11 +191,10 @@ def fit(rows: DataFrame) -> Codebooks | None:
     n = rows.count()
     if not n:
         return None
-    share = min(1.0, 1.1 * SAMPLE / n + 1e-9)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
-    if not len(sample):
-        sample = rows.limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
-    return Codebooks(_matrix(sample))
+    share = min(1.0, 2 * SAMPLE / n)
+    place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    sample = rows.where(place <= int(share * (1 << 30))).orderBy(place, "vec_id", "embedding").limit(SAMPLE)
+    return Codebooks(_matrix(sample.select("embedding").toArrow()["embedding"].combine_chunks()))
 
 
 def index(rows: DataFrame, books: Codebooks) -> DataFrame:
@@ -220,7 +241,7 @@ def search(indexed: DataFrame, queries: DataFrame, books: Codebooks, k: int = 5)
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= SLAB:
+            if n >= min(SLAB, max(1024, SLAB_BYTES // (8 * len(batch.column(1)[0])))):
                 yield from slab(held)
                 held, n = [], 0
         if n:
