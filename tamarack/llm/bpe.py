@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, PrefixHash, batch_bytes, binary_array, bounded_batches, per_process, text_of
+from .common import Generations, PrefixHash, batch_bytes, binary_array, bounded_batches, fresh, named, per_process, text_of
 
 WINDOW = 24  # bytes that the rolling hash looks back
 SPARSE = 255  # mask: of the white spaces, one in so many + 1 is a cut
@@ -158,22 +158,32 @@ class ChunkCodec:
         self.chunks = Generations(MEMO_BYTES)
         self.joins = Generations(JOIN_MEMO)
 
-    def _window(self, left: str, right: str, size: int) -> tuple[str, bool]:
-        """The text around a join: size characters on both sides, out to white space; whether that is all there is."""
+    def _window(self, left: str, right: str, size: int) -> tuple[tuple[str, str], bool]:
+        """The text before and after a join: size characters on both sides, out to white space; whether that is all there is."""
         tail, head = left[_before(left, size) :], right[: _after(right, size)]
-        return tail + head, len(tail) == len(left) and len(head) == len(right)
+        return (tail, head), len(tail) == len(left) and len(head) == len(right)
+
+    def _cut(self, windows: list[tuple[str, str]]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of each window, encoded as a whole by the library, before and after its join; None where a token lies across it."""
+        out: list[tuple[bytes, bytes] | None] = []
+        for lo in range(0, len(windows), 512):
+            lot = windows[lo : lo + 512]
+            for (tail, _), x in zip(lot, self.tokenizer.encode_batch([a + b for a, b in lot], add_special_tokens=False)):
+                k = sum(end <= len(tail) for _, end in x.offsets)
+                across = any(start < len(tail) < end for start, end in x.offsets) or any(end <= len(tail) for _, end in x.offsets[k:])
+                out.append(None if across else (array("I", x.ids[:k]).tobytes(), array("I", x.ids[k:]).tobytes()))
+        return out
 
     def _agrees(self, left: str, right: str, a: bytes, b: bytes) -> bool:
-        """Whether some window over the join, encoded as a whole by the library, is what a ends with and b begins with."""
+        """Whether some window over the join, encoded as a whole by the library, is, before the join, what a ends with and, after it, what b begins with."""
         size = JOIN
         while True:
             window, whole = self._window(left, right, size)
             found = self.joins.get(window)
             if found is None:
-                found = self.pieces.library([window])[0]
+                found = self._cut([window])
                 self.joins.put(window, found)
-            n = len(found)
-            if any(a.endswith(found[:k]) and b.startswith(found[k:]) for k in range(0, n + 1, 4)):
+            if found[0] is not None and a.endswith(found[0][0]) and b.startswith(found[0][1]):
                 return True
             if whole:
                 return False
@@ -196,8 +206,8 @@ class ChunkCodec:
         pairs = np.flatnonzero(row_of[1:] == row_of[:-1]).tolist()
         windows = dict.fromkeys(self._window(texts[k], texts[k + 1], JOIN)[0] for k in pairs)
         windows = [w for w in windows if self.joins.get(w) is None]
-        for window, ids in zip(windows, self.pieces.library(windows)):
-            self.joins.put(window, ids)
+        for window, found in zip(windows, self._cut(windows)):
+            self.joins.put(window, [found])
         out = []
         for row in range(len(offsets) - 1):
             parts: list[bytes] = []
@@ -242,8 +252,9 @@ def encode(df: DataFrame, path: str, text: str = "text", decoded: bool = False)
 
     names = ["ids", "n_tokens", "decoded"][: 2 + decoded]
     kind = "struct<ids:binary,n_tokens:bigint" + ",decoded:string" * decoded + ">"
-    held = df.withColumn("_bpe", F.arrow_udf(run, kind)(text_of(text)))
-    return held.select(*(c for c in df.columns if c not in names), *(f"_bpe.{x}" for x in names))
+    made = fresh(df, "_bpe")
+    held = df.withColumn(made, F.arrow_udf(run, kind)(text_of(text)))
+    return held.select(*(named(c) for c in df.columns if c not in names), *(F.col(made).getField(x).alias(x) for x in names))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -256,4 +267,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
             found = [np.frombuffer(x or b"", "<u4").tolist() for x in column.to_pylist()]
             yield pa.array(tokenizer.decode_batch(found, skip_special_tokens=False), pa.string())
 
-    return df.withColumn(into, F.arrow_udf(run, "string")(F.col(ids)))
+    return df.withColumn(into, F.arrow_udf(run, "string")(named(ids)))

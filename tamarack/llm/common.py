@@ -24,7 +24,8 @@ BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches that Python workers get small; very long texts would fill them otherwise."""
+    """Keep the Arrow batches that Python workers get small; very long texts would fill them otherwise. This sets two
+    limits of the session, which stay set; they bound sizes only and change no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -42,9 +43,23 @@ def shared_dir(spark: SparkSession) -> str:
     return re.sub("^file:/+", "file:///", whole.rstrip("/"))
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder. The caller's result may be read lazily, so it isn't deleted here."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path below the shared folder. Results are read lazily, so it stays until clear() is called."""
+    _MADE.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what this driver's operators have written below the shared folder, once their results were used; archives
+    and token files written to a folder of the caller's stay. Returns how many paths went."""
+    gone = 0
+    while _MADE:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return gone
 
 
 def make_dirs(spark: SparkSession, path: str) -> str:
@@ -72,6 +87,13 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(named(name), F.lit(""))
 
