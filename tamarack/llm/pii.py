@@ -35,12 +35,14 @@ _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\) ?)?[0-9]{3,4}[
 _PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.5, "local_phone": 0.3}
 _CHECKED = 0.4
 _FOR = {
-    "email": ("mail", "contact", "write"), "ip": ("ip", "address", "host", "server"), "card": ("card", "visa", "credit", "pay"),
+    "email": ("mail", "email", "e-mail", "contact", "write"), "ip": ("ip", "address", "host", "server"), "card": ("card", "visa", "credit", "pay"),
     "phone": ("phone", "tel", "call", "mobile", "fax"), "iban": ("iban", "bank", "account", "konto", "cuenta", "compte"),
     "local_phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "móvil", "téléphone"),
 }
 _AGAINST = ("order", "invoice", "isbn", "version", "serial", "part no", "tracking")
 _NEAR = 40
+_FOR_WORDS = {kind: re.compile(rf"\b(?:{'|'.join(map(re.escape, words))})\b") for kind, words in _FOR.items()}
+_AGAINST_WORDS = re.compile(rf"\b(?:{'|'.join(map(re.escape, _AGAINST))})\b")
 THRESHOLD = 0.6
 
 
@@ -103,10 +105,11 @@ def _local_phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
+    """Pattern, checksum and whole words near a span; a word cut by the distance counts as it stands."""
     near = f"{text[max(0, start - _NEAR) : start]} {text[end : end + _NEAR]}".lower()
     found = _PRIOR[kind] + _CHECKED * (kind in ("card", "iban"))
-    found += 0.35 * any(w in near for w in _FOR[kind])
-    found -= 0.3 * any(w in near for w in _AGAINST)
+    found += 0.35 * (_FOR_WORDS[kind].search(near) is not None)
+    found -= 0.3 * (_AGAINST_WORDS.search(near) is not None)
     return round(min(1.0, max(0.0, found)), 2)
 
 
