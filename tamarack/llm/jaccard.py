@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, batch_bytes, mix64, scratch, stored, words_of
+from .common import PrefixHash, batch_bytes, mix64, named, scratch, stored, words_of
 from .components import components
 from .parts import Known, bucket_bits, by_part, frequencies, side, stage
 
@@ -194,8 +194,8 @@ def _prepared(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     """Staged rows, sets, classes, index of representatives and their entries under shared prefix shingles."""
     spark = docs.sparkSession
     others = [c for c in docs.columns if c != text]
-    row = F.struct(*others) if others else F.lit(None).cast("int")
-    frame = docs.select(row.alias("_row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    row = F.struct(*(named(c).alias(c) for c in others)) if others else F.lit(None).cast("int")
+    frame = docs.select(row.alias("_row"), named(key).cast("long").alias("doc_id"), named(text).cast("string").alias("text"))
     staged = stage(frame, "jaccard-docs")
     sets = _sets(staged)
     known = frequencies(staged, ["text"], lambda batch: shingles(_text(batch))[0], "jaccard-counts")
@@ -221,9 +221,9 @@ def _candidates(entries: DataFrame, apart: Column | None = None, also: tuple[str
     cut = lambda c: F.ceil(F.col(c) / BLOCK)
     own = lambda c: F.pmod(F.xxhash64(F.lit(0), "rid"), cut(c))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), cut(c) - 1))
-    named = lambda side: (F.col(c).alias(f"{side}_{c}") for c in (*ABOUT, *also))
-    x = rows.where("head").select("token", own("heads").alias("i"), every("all").alias("j"), *named("x"))
-    y = rows.select("token", every("heads").alias("i"), own("all").alias("j"), *named("y"))
+    sided = lambda side: (F.col(c).alias(f"{side}_{c}") for c in (*ABOUT, *also))
+    x = rows.where("head").select("token", own("heads").alias("i"), every("all").alias("j"), *sided("x"))
+    y = rows.select("token", every("heads").alias("i"), own("all").alias("j"), *sided("y"))
     smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_rid") < F.col("y_rid")))
     met = x.join(y, ["token", "i", "j"]).where(smaller & _possible("x", "y"))
     met = met if apart is None else met.where(apart)
@@ -297,4 +297,4 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     found = connect(docs, key, text)
     stays = labelled(found).where("stays").select("rid")
     kept = found.staged.join(stays, "rid", "left_semi")
-    return kept.select(*(F.col("text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns))
+    return kept.select(*(F.col("text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns))

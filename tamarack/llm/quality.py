@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, let, text_of
+from .common import SPACE, WORD, fresh, let, named, text_of
 
 BOILERPLATE = (
     r"(?i)cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|"
@@ -134,7 +134,8 @@ def clean(df: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFram
     """The documents that the rules keep, their failing lines removed. Columns stay; n_chars, if there, follows the text."""
     # A generator evaluates its input once; a filter over a projected struct would be pushed down and evaluate it again.
     kept = F.filter(F.array(measures(text_of(text), rules)), lambda m: m["kept"])
-    judged = df.select("*", F.explode(F.transform(kept, lambda m: m["clean"])).alias("_clean")).withColumn(text, F.col("_clean"))
-    if "n_chars" in df.columns:
-        judged = judged.withColumn("n_chars", F.length(text).cast("long"))
-    return judged.select(*df.columns)
+    others = [c for c in df.columns if c not in (text, "n_chars")]
+    made = fresh(df.select(*map(named, others)), "clean")
+    judged = df.select(*map(named, others), F.explode(F.transform(kept, lambda m: m["clean"])).alias(made))
+    own = {text: F.col(made), "n_chars": F.length(made).cast("long")}
+    return judged.select(*(own[c].alias(c) if c in own else named(c) for c in df.columns))

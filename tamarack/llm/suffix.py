@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import PrefixHash, batch_bytes, mix64, scratch, text_of
+from .common import PrefixHash, batch_bytes, mix64, named, scratch, text_of
 from .parts import Known, bucket_bits, by_part, frequencies, side, stage
 
 WINDOW = 50
@@ -372,12 +373,16 @@ def marks(staged: DataFrame, representatives: str) -> str:
     return path
 
 
+def _packed(columns: list[str]):
+    return F.struct(*(named(c).alias(c) for c in columns)) if columns else F.lit(None).cast("int")
+
+
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (maximal runs that went) and kept (the remaining bytes, binary); columns
     of these names are replaced."""
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
     carried = [c for c in docs.columns if c not in names]
-    frame = docs.select(F.struct(*(c for c in carried if c != text)).alias("_row"), F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"), F.col(text).isNull().alias("_null"))
+    frame = docs.select(_packed([c for c in carried if c != text]).alias("_row"), named(key).cast("long").alias("doc_id"), text_of(text).alias("text"), named(text).isNull().alias("_null"))
     staged = stage(frame.withColumn("class", F.unhex(F.sha2("text", 256))), "suffix-docs")
     spark = staged.sparkSession
     # Rows of the least doc_id of their text; texts that can't hold a window need no part in it.
@@ -424,7 +429,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 names=["_row", "text", "_null", *names],
             )
 
-    row_type = staged.schema["_row"].dataType.simpleString()
-    done = staged.select("rid", "part", "doc_id", "_row", "text", "_null").mapInArrow(cut, f"_row {row_type}, text string, _null boolean, n_bytes long, n_removed long, n_spans long, kept binary")
-    back = [F.when(~F.col("_null"), F.col("text")).alias(text) if c == text else F.col(f"_row.{c}").alias(c) for c in carried]
+    kind = StructType([*(staged.schema[c] for c in ("_row", "text", "_null")), *(StructField(c, LongType()) for c in names[:3]), StructField("kept", BinaryType())])
+    done = staged.select("rid", "part", "doc_id", "_row", "text", "_null").mapInArrow(cut, kind)
+    back = [F.when(~F.col("_null"), F.col("text")).alias(text) if c == text else F.col("_row").getField(c).alias(c) for c in carried]
     return done.select(*back, *names)

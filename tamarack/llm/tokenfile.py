@@ -16,7 +16,7 @@ that no other attempt uses, and only files of tasks that ended get into the mani
 speculative attempts leave nothing behind that a reader sees.
 
 Defined results: null or empty text has the end id alone; null doc_ids come first; rows with one doc_id are
-ordered by their ids' bytes; extra columns aren't stored.
+ordered by their texts; extra columns aren't stored.
 """
 
 import struct
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import PieceEncoder
-from .common import bounded_batches, filesystem, make_dirs, per_process, scratch, stored, text_of
+from .common import bounded_batches, filesystem, make_dirs, named, per_process, scratch, stored, text_of
 
 FRAME_BYTES = 1 << 20  # of ids, before a frame is closed
 LEVEL = 1
@@ -175,7 +175,7 @@ def write(df: DataFrame, path: str, end_id: int = 0, folder: str | None = None,
             row = [[shard], [where], [writer.first], [writer.docs], [writer.tokens], [writer.bytes]]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.string(), *[pa.int64()] * 4))], names=["shard", "path", "first_doc", "docs", "tokens", "bytes"])
 
-    dealt = df.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = df.select(named(key).cast("long").alias("doc_id"), text_of(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return stored(dealt.mapInArrow(run, MANIFEST), "manifest")
 
 

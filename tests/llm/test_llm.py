@@ -552,6 +552,35 @@ def test_ann(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("width, parts", [(32, 60), (64, 0), (101, 300)])
+def test_ann_recall(width, parts):
+    """In one slab of 20,000 vectors, clustered or not, with few of them reranked: 13 of 1,000."""
+    rng = np.random.default_rng(width)
+    x = rng.standard_normal((20_000, width))
+    if parts:
+        x = 0.7 * x + 2 * rng.standard_normal((parts, width))[rng.integers(0, parts, len(x))]
+        x[10_000:10_400] = x[:400] + 0.05 * rng.standard_normal((400, width))
+    x *= np.exp(rng.standard_normal((len(x), 1)))
+    ids = np.arange(len(x))
+    chosen = ids[::50]
+    books = ann.Codebooks(x[rng.permutation(len(x))[: 6_000]])
+    query, found, score = ann.best(ids, x, ann.packed(books.encode(x)), chosen, x[chosen], books, 5)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    exact = unit[chosen] @ unit.T
+    exact[np.arange(len(chosen)), chosen] = -2
+    want = np.argsort(-exact, axis=1, kind="stable")[:, :5]
+    hits = sum(len(set(found[query == q]) & set(w)) for q, w in zip(chosen, want))
+    assert hits / want.size >= 0.9
+    assert score == pytest.approx((unit[query] * unit[found]).sum(1), abs=1e-12)
+
+
+def test_ann_extreme_lengths(spark):
+    """Squares of these components are no doubles; their cosines are."""
+    rows = [(0, [3e200, 4e200]), (1, [3e-200, 4e-200]), (2, [4e-320, 3e-320]), (3, [1.7e308, -1.7e308]), (4, [0.0, 5e-324])]
+    got = {r["vec_id"]: r["score"] for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: pytest.approx(1.0), 2: pytest.approx(0.96, abs=1e-4), 3: pytest.approx(-0.1414213562), 4: pytest.approx(0.8)}
+
+
 def test_ann_cases(spark):
     rows = [(0, [1.0, 0.0, 0.0]), (1, [2.0, 0.0, 0.0]), (3, [2.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [float("nan"), 1.0, 0.0]), (7, [1.0, None, 0.0]), (8, [1.0]), (None, [1.0, 0.0, 0.0]), (1, [2.0, 0.0, 0.0]), (9, [0.0, 1.0, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("codes", F.lit(1))
