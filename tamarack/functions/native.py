@@ -85,6 +85,14 @@ def collapse(text: Column, least: int, keep: int) -> Column:
     return F.regexp_replace(text, r"([\x{0}-\x{FFFF}&&[^\n\r\x{2028}\x{2029}]])\1{" + str(least - 1) + ",}+", "$1" * keep)
 
 
+#: Words that decoding and collapsing leave as they are; most words are, and skip the work.
+_SETTLED, _UNSETTLED = "^[a-z]++$", r"ph|vv|([a-z])\1\1"
+
+
+def settled(low: Column) -> Column:
+    return low.rlike(_SETTLED) & ~low.rlike(_UNSETTLED)
+
+
 def decode(text: Column, literal: bool = False) -> Column:
     """Sequences in one pass (marked first, so that no output is decoded again), then single characters."""
     chosen = {s: to for s, to in T.SEQUENCES.items() if not (literal and any(c.isdigit() for c in s))}
@@ -92,6 +100,7 @@ def decode(text: Column, literal: bool = False) -> Column:
     out = F.regexp_replace(text, f"({every})", f"{_OPEN}$1{_SHUT}")
     for sequence, letter in chosen.items():
         out = F.replace(out, F.lit(f"{_OPEN}{sequence}{_SHUT}"), F.lit(letter))
+    out = F.when(text.rlike(every), out).otherwise(text)
     singles = {c: to for c, to in T.SINGLES.items() if not (literal and c.isdigit())}
     one = {c: to for c, to in singles.items() if len(to) == 1}
     gone = [c for c, to in singles.items() if not to]
@@ -115,13 +124,14 @@ def normalize(text: Column, literal: bool = False) -> Column:
     """Of folded text: lower case, without invisible characters, decoded, runs collapsed to two, separators gone; digits alone stay."""
 
     def told(low: Column) -> Column:
-        return F.when(low.rlike("^[0-9]+$"), low).otherwise(_trim(strip_separators(collapse(decode(low, literal), 3, 2))))
+        return F.when(settled(low) | low.rlike("^[0-9]+$"), low).otherwise(_trim(strip_separators(collapse(decode(low, literal), 3, 2))))
 
     return let(strip_invisible(F.lower(text)), told)
 
 
 def variants(text: Column, literal: bool = False) -> Column:
     """Distinct non-empty spellings, the surest first."""
+    low = F.lower(text)
 
     def told(base: Column) -> Column:
         low = strip_invisible(F.lower(text))
@@ -129,7 +139,7 @@ def variants(text: Column, literal: bool = False) -> Column:
         every = F.array(base, collapse(base, 2, 1), _trim(strip_separators(whole)), F.regexp_replace(F.lower(text), "[^a-z0-9]", ""))
         return F.filter(F.array_distinct(every), lambda v: v != "")
 
-    return let(normalize(text, literal), told)
+    return F.when(settled(low), F.array_distinct(F.array(low, collapse(low, 2, 1)))).otherwise(let(normalize(text, literal), told))
 
 
 def code_shape(text: Column) -> Column:

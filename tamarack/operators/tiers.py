@@ -121,26 +121,32 @@ def transliterated(found: DataFrame, tables: Tables) -> DataFrame:
 
 
 def partial(found: DataFrame, tables: Tables) -> DataFrame:
-    """Forms that contain a pattern: a nested-loop join of distinct forms with the few patterns. The earliest end wins, then the longest."""
+    """Forms that contain a pattern: an equi-join of a form's triples of letters with the first triple of a pattern, then
+    the whole pattern. The earliest end wins, then the longest."""
     spelled = _spelled(found).select(*found.columns, F.posexplode("_all").alias("_k", "_v")).where(F.length("_v") >= 4)
+    triples = F.transform(F.sequence(F.lit(1), F.length("_v") - 2), lambda i: F.substring("_v", i, F.lit(3)))
+    met = spelled.withColumn("_t", F.explode(F.array_distinct(triples)))
     at = F.instr(F.col("_v"), F.col("pattern"))
-    hits = spelled.join(tables.partial, (at > 0) & (F.col("_v") != F.col("pattern"))).where("passes")
+    hits = met.join(tables.partial, F.col("_t") == F.substring("pattern", 1, 3)).where("passes").where((at > 0) & (F.col("_v") != F.col("pattern")))
     rank = F.struct("_k", (at + F.length("pattern")).alias("end"), (-F.length("pattern")).alias("size"))
     first = hits.groupBy(*found.columns).agg(F.min_by(F.struct(*_ENTRY), rank).alias("e"))
     return first.select(*found.columns, *(f"e.{x}" for x in _ENTRY), *_hit("normalized", 0.85))
 
 
 def fuzzy(found: DataFrame, tables: Tables) -> DataFrame:
-    """Forms similar to a canonical word: an equi-join on the first letter or a neighbour of it, then length, then edit distance."""
+    """Forms similar to a canonical word: an equi-join on the first letter, or a neighbour of it, and the length, for
+    those lengths that leave the threshold within reach; then edit distance."""
     t = tables.config.threshold
     plain = found.withColumn("_f", native.folded(F.col("value"))).select(*found.columns, native.normalize(F.col("_f")).alias("_p")).where((F.length("value") >= 3) & (F.col("_p") != ""))
-    blocks = plain.select("*", F.explode(F.array(*(F.struct(F.char(F.ascii("_p") + d).alias("first"), F.lit(abs(d)).alias("off"), F.lit(r).alias("turn")) for d, r in ((0, 0), (-1, 1), (1, 2))))).alias("_b"))
-    candidates = blocks.join(tables.canonical, F.col("_b.first") == F.substring("word", 1, 1))
-    longest = F.greatest(F.length("_p"), F.length("word"))
+    turns = [(step, slack, turn) for turn, (step, slack) in enumerate(((0, 2), (-1, 1), (1, 1)))]
+    probe = lambda step, more, turn: F.struct(F.char(F.ascii("_p") + step).alias("first"), (F.length("value") + more).alias("size"), F.lit(abs(step)).alias("off"), F.lit(turn).alias("turn"))
+    blocks = plain.select("*", F.explode(F.array(*(probe(step, more, turn) for step, slack, turn in turns for more in range(-slack, slack + 1)))).alias("_b"))
+    longest = F.greatest(F.length("_p"), F.col("_b.size"))
     edits = F.floor(longest * F.lit(1 - t))
-    near = F.abs(F.length("word") - F.length("value")) <= F.when(F.col("_b.off") == 0, 2).otherwise(1)
-    may = (F.abs(F.length("word") - F.length("_p")) <= edits) & ((F.col("_b.off") == 0) | (edits >= 2))
-    scored = candidates.where(near & may).withColumn("_s", native.similarity(F.col("_p"), F.col("word"))).where(F.col("_s") >= t)
+    may = (F.abs(F.col("_b.size") - F.length("_p")) <= edits) & ((F.col("_b.off") == 0) | (edits >= 2))
+    open_ = blocks.where(may)
+    candidates = open_.join(tables.canonical, (F.col("_b.first") == F.substring("word", 1, 1)) & (F.col("_b.size") == F.length("word"))).where((edits > 0) | (F.col("_p") == F.col("word")))
+    scored = candidates.withColumn("_s", native.similarity(F.col("_p"), F.col("word"))).where(F.col("_s") >= t)
     best = scored.groupBy(*found.columns).agg(F.max_by(F.struct("word", "_s"), F.struct("_s", (-F.col("_b.turn")).alias("turn"), (-F.col("ord")).alias("ord"))).alias("b"))
     return best.join(tables.keys, F.col("b.word") == F.col("key")).where("passes").select(*found.columns, *_ENTRY, *_hit("fuzzy", F.col("b._s")))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Below so many bytes for each core, an input has too few row groups to keep the cores busy.
@@ -21,6 +24,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if cores > 1 and size < cores * SMALL else df
 
 
+def shared(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir; on a local master without it, in a
+    temporary folder; elsewhere its absence is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="tamarack-")
+    return f"{found.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def texts(spark: SparkSession, *items: str | None) -> DataFrame:
     """Strings in memory as a table (doc_id, text)."""
     return spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")
