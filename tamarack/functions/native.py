@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from . import tables as T
 
 _OPEN, _SHUT = "\ue000", "\ue001"  # private-use marks around a decoded sequence
@@ -48,6 +49,7 @@ def fold(text: Column) -> Column:
         for column in columns:
             yield pa.array([None if x is None else forms.fold(x) for x in column.to_pylist()], pa.string())
 
+    ship(SparkSession.active())  # workers import the package by name
     return F.arrow_udf(run, "string")(text)
 
 
@@ -63,6 +65,7 @@ def _readings(text: Column, of: str) -> Column:
         for column in columns:
             yield pa.array([None if x is None else getattr(script, of)(x) for x in column.to_pylist()], pa.list_(pa.string()))
 
+    ship(SparkSession.active())
     return F.arrow_udf(run, "array<string>")(F.when(has_devanagari(text), text))
 
 

@@ -81,7 +81,9 @@ def not_exempt(found: DataFrame, tables: Tables) -> DataFrame:
 
 
 def _spelled(found: DataFrame) -> DataFrame:
-    """found with _all, the spellings of each form; the fold, a Python function, is a column of its own."""
+    """found with _all, the spellings of each form; the fold, a Python function, is a column of its own. Explode _all by
+    an outer generator: of an inner one Spark infers a filter on _all, pushes it below the reduction to distinct forms,
+    and so spells every occurrence."""
     return found.withColumn("_f", native.folded(F.col("value"))).withColumn("_all", native.variants(F.col("_f"))).drop("_f")
 
 
@@ -105,7 +107,7 @@ def normalized(found: DataFrame, tables: Tables) -> DataFrame:
     if white:
         stop = F.array_position(F.transform("_all", lambda v: v.isin(white)), True)
         every = every.withColumn("_all", F.when(stop > 0, F.slice("_all", 1, (stop - 1).cast("int"))).otherwise(F.col("_all")))
-    spelled = every.select(*found.columns, F.posexplode("_all").alias("_k", "_v")).where((F.length("_v") >= 3) | (F.col("_v") == F.col("value")))
+    spelled = every.select(*found.columns, F.posexplode_outer("_all").alias("_k", "_v")).where((F.length("_v") >= 3) | (F.col("_v") == F.col("value")))
     hits = spelled.join(tables.keys, F.col("_v") == F.col("key")).where("passes")
     first = hits.groupBy(*found.columns).agg(F.min_by(F.struct(*_ENTRY), "_k").alias("e"))
     return first.select(*found.columns, *(f"e.{x}" for x in _ENTRY), *_hit("normalized", 0.95))
@@ -123,7 +125,7 @@ def transliterated(found: DataFrame, tables: Tables) -> DataFrame:
 def partial(found: DataFrame, tables: Tables) -> DataFrame:
     """Forms that contain a pattern: an equi-join of a form's triples of letters with the first triple of a pattern, then
     the whole pattern. The earliest end wins, then the longest."""
-    spelled = _spelled(found).select(*found.columns, F.posexplode("_all").alias("_k", "_v")).where(F.length("_v") >= 4)
+    spelled = _spelled(found).select(*found.columns, F.posexplode_outer("_all").alias("_k", "_v")).where(F.length("_v") >= 4)
     triples = F.transform(F.sequence(F.lit(1), F.length("_v") - 2), lambda i: F.substring("_v", i, F.lit(3)))
     met = spelled.withColumn("_t", F.explode(F.array_distinct(triples)))
     at = F.instr(F.col("_v"), F.col("pattern"))

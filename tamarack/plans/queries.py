@@ -147,7 +147,7 @@ def dedupe_spans(spark: SparkSession, d: str) -> DataFrame:
     words = tiers.exact(tiers.not_safe(tiers.tokens(docs).withColumn("value", F.lower("value")), tables), tables)
     spans = words.select("doc_id", "pos", "matched", "confidence").union(tiers.phrase_hits(docs, tables).select("doc_id", "pos", "matched", "confidence"))
     span = F.struct(F.col("pos").alias("start"), (F.col("pos") + F.size(F.split("matched", " "))).alias("end"), "confidence", "matched")
-    kept = spans.groupBy("doc_id").agg(resolved(F.array_sort(F.collect_list(span))).alias("k")).select("doc_id", F.explode("k").alias("s"))
+    kept = spans.groupBy("doc_id").agg(resolved(F.array_sort(F.collect_list(span))).alias("k")).select("doc_id", F.explode_outer("k").alias("s"))
     return kept.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.matched").alias("matched"))
 
 
