@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes of one Arrow batch handed to Python; bounds a worker's memory whatever the texts' length.
 BATCH_ROWS = 256
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
