@@ -104,6 +104,16 @@ def test_bpe(docs, real, name):
     assert len(back) == docs.count()
 
 
+def test_bpe_pieces_asked_together():
+    """Pieces encoded in one text have the ids that the library gives each alone, whatever characters they hold."""
+    encoder = bpe.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(6)
+    signs = "abcXYZ019.,'-_é\u0301\u0300İßﬁ☕𝒳日本\u200d\u00a0\u2028\x85नमस्ते<|>endoftext"
+    pieces = list(dict.fromkeys("".join(rng.choice(signs) for _ in range(rng.randint(1, 12))) for _ in range(3000)))
+    pieces += ["<|endoftext|>", "x<|endoftext|>y", "\u0301", "'s", "it's", "\x00"]
+    assert encoder._spaced(pieces) == encoder.library(pieces)
+
+
 def test_bpe_joins_are_repaired():
     codec = bpe.ChunkCodec(public_tokenizers.path("byte_bpe_50k.json"))
     one = codec.pieces.library(["hello world"])[0]
