@@ -7,8 +7,9 @@ one place: pieces meet others of their anchor only.
 
 1. Documents are staged once; rows of equal text are represented by those of the least doc_id, any other copy
    goes whole. Anchors are counted over the representatives (parts.frequencies); most occur in one document.
-2. Pieces with an anchor that two rows share are sent to their anchor's bucket; a task keeps only the least
-   doc_id of equal pieces and marks the others itself, so a hot passage costs one piece a task. In a bucket,
+2. Pieces with an anchor that two rows share are sent to their anchor's bucket; a flush keeps one piece, of the
+   least doc_id, of equal ones: it marks those of other documents itself, and those of the same document are noted
+   as its twins. So a passage costs one piece a flush, however often a text repeats it. In a bucket,
    equal pieces are found by their hash; where an anchor has different pieces, their windows, which are suffixes
    of the pieces, are sorted: a mergesort whose comparisons find the common extension of two suffixes by binary
    search over polynomial prefix hashes, in a logarithmic number of steps. Neighbours with a common extension of
@@ -16,7 +17,10 @@ one place: pieces meet others of their anchor only.
    whose hash no other one of the bucket has can't be repeats and aren't sorted.
    Pieces of an anchor that more than HOT_ROWS rows have are sent as single windows, by the window's own hash, the
    least doc_id of each only: a phrase in millions of documents, in ever other surroundings, goes to all buckets.
-3. Marked ranges go back to their part; a last pass joins and cuts them.
+   A bucket is worked through SORT_BYTES at a time, whole anchors together; the windows of an anchor with more
+   than that meet by their hash, a share of the hashes in each round, and are compared byte by byte as well.
+3. Marked windows, as ranges of their starts, and twins go back to their part; a last pass marks the twins as their
+   piece is, joins the windows' bytes and cuts them.
 
 Defined results: null or empty text has no bytes; texts shorter than a window lose nothing; rows with a null
 doc_id neither lose bytes nor cost others any; rows that repeat a doc_id don't cost each other bytes; an empty
@@ -41,6 +45,8 @@ WINDOW = 50
 ANCHOR = 24
 FLUSH_BYTES = 3 << 20
 HOT_ROWS = 20_000
+SORT_BYTES = 1 << 20  # of pieces sorted at once, in some hundred bytes of memory each; also windows that meet by hash
+PIECES, MARKS, TWINS = range(3)  # kinds of blobs
 _LOW = 32  # bits for a position in a batch: texts of up to 4 GB
 
 
@@ -216,6 +222,73 @@ def duplicated(data: np.ndarray, start: np.ndarray, length: np.ndarray, anchor:
     return np.concatenate([whole_pieces, members]), np.concatenate([np.zeros(len(whole_pieces), np.int64), offset]), np.concatenate([length[whole_pieces], offset + WINDOW])
 
 
+def by_windows(data: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As duplicated(), a window to each range, with memory for SORT_BYTES windows whatever the pieces' number: each
+    round takes a share of the windows' hashes."""
+    compare = Suffixes(data, None)
+    rounds = np.uint64(-(-int((length - WINDOW + 1).sum()) // SORT_BYTES))
+    for turn in range(int(rounds)):
+        held = []
+        for k in _slices(length, SORT_BYTES):
+            n = length[k] - WINDOW + 1
+            begin = np.cumsum(length[k]) - length[k]
+            at = _ranges(begin, n)
+            hashed = mix64(PrefixHash(data[_ranges(start[k], length[k])]).of(at, at + WINDOW))
+            mine = np.flatnonzero(hashed % rounds == turn)
+            piece = np.repeat(np.arange(len(n)), n)[mine]
+            held.append((hashed[mine], piece + k.start, at[mine] - begin[piece]))
+        hashed, piece, offset = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((doc[piece], hashed))
+        hashed, piece, offset = hashed[order], piece[order], offset[order]
+        if not len(piece):
+            continue
+        new = np.concatenate(([True], hashed[1:] != hashed[:-1]))
+        cls = np.cumsum(new) - 1
+        head = np.flatnonzero(new)[cls]
+        hit = doc[piece] > doc[piece[head]]
+        place = start[piece] + offset
+        later = np.flatnonzero(hit)
+        for k in _slices(np.full(len(later), WINDOW), SORT_BYTES):
+            own = later[k]
+            hit[own] = compare.equal(place[own], place[head[own]], np.full(len(own), WINDOW))
+        for c in np.unique(cls[later[~hit[later]]]):  # a collision: by the bytes themselves
+            own = np.flatnonzero(cls == c)
+            bytes_ = [data[place[k] : place[k] + WINDOW].tobytes() for k in own]
+            least: dict[bytes, int] = {}
+            for x, d in zip(bytes_, doc[piece[own]].tolist()):
+                least[x] = min(d, least.get(x, d))
+            hit[own] = doc[piece[own]] > np.array([least[x] for x in bytes_])
+        yield piece[hit], offset[hit], offset[hit] + WINDOW
+
+
+def repeats(data: np.ndarray, start: np.ndarray, length: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As duplicated(), of any number of pieces laid end to end, SORT_BYTES at a time."""
+    if len(data) <= SORT_BYTES:
+        yield duplicated(data, start, length, anchor, doc)
+        return
+    key = np.zeros(len(start), np.uint64)
+    for k in _slices(length, SORT_BYTES):
+        at = start[k] - start[k][0]
+        prefix = PrefixHash(data[start[k][0] : start[k][-1] + length[k][-1]])
+        key[k] = prefix.of(at + anchor[k], at + anchor[k] + ANCHOR)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    edges = np.append(first, len(order))
+    weight = np.add.reduceat(length[order], first)
+    large = weight > SORT_BYTES
+    for g in np.flatnonzero(large):
+        own = order[edges[g] : edges[g + 1]]
+        for piece, lo, hi in by_windows(data, start[own], length[own], doc[own]):
+            yield own[piece], lo, hi
+    rest = order[np.repeat(~large, np.diff(edges))]
+    edges = np.append(0, np.cumsum(np.diff(edges)[~large]))
+    for k in _slices(weight[~large], SORT_BYTES):
+        own = rest[edges[k.start] : edges[k.stop]]
+        n = length[own]
+        piece, lo, hi = duplicated(data[_ranges(start[own], n)], np.cumsum(n) - n, n, anchor[own], doc[own])
+        yield own[piece], lo, hi
+
+
 # --- tables ---------------------------------------------------------------------------------------------------
 
 
@@ -251,6 +324,17 @@ def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return row[first], start[first], (np.maximum.reduceat(end + shift, first) - shift[first]).astype(start.dtype)
 
 
+def twinned(row: np.ndarray, start: np.ndarray, end: np.ndarray, to: np.ndarray, at: np.ndarray, of: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ranges of twins: of merged ranges (row, start, end), what lies in row `of` from begin on, count long, moved to
+    row `to` at `at`."""
+    low = (of << 32) + begin
+    lo, hi = np.searchsorted((row << 32) + end, low, "right"), np.searchsorted((row << 32) + start, low + count, "left")
+    n = np.maximum(hi - lo, 0)
+    k, i = _ranges(lo, n), np.repeat(np.arange(len(to)), n)
+    shift = (at - begin)[i]
+    return merged(to[i], np.maximum(start[k], begin[i]) + shift, np.minimum(end[k], (begin + count)[i]) + shift)
+
+
 def _column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
@@ -261,8 +345,8 @@ def _rows_of(folder: str, part: int) -> np.ndarray:
 
 
 def marks(staged: DataFrame, representatives: str) -> str:
-    """A folder with, for each part, the ranges of its rows' bytes that go. representatives: the folder of the
-    rows that take part."""
+    """A folder with, for each part, the windows of its rows that go, as ranges of their starts, and pieces that go as
+    their twins do. representatives: the folder of the rows that take part."""
     spark = staged.sparkSession
     bits = bucket_bits(spark)
     more = bits + 2
@@ -292,33 +376,37 @@ def marks(staged: DataFrame, representatives: str) -> str:
         order = np.lexsort((docs, whole))
         new = np.concatenate(([True], whole[order][1:] != whole[order][:-1]))
         head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        same = (lengths[order] == lengths[head]) & (docs[order] > docs[head])
+        same = (lengths[order] == lengths[head]) & (order != head)
         same[same] = Suffixes(texts, prefix).equal(where[order][same], where[head][same], lengths[order][same])
-        gone, sent = order[same], np.sort(order[~same])
+        later = docs[order] > docs[head]
+        gone, sent = order[same & later], np.sort(order[~same])
+        twins, of = order[same & ~later], head[same & ~later]
         bucket = (hashes[sent] >> np.uint64(64 - more)).astype(np.int64)
         by_bucket = np.argsort(bucket, kind="stable")
         sent, bucket = sent[by_bucket], bucket[by_bucket]
         cut = np.searchsorted(bucket, np.arange((1 << more) + 1))
-        ids, parts, blobs, told = [], [], [], []
+        ids, kinds, blobs = [], [], []
         for b in np.flatnonzero(np.diff(cut)):
             own = sent[cut[b] : cut[b + 1]]
             blobs.append(_pack(rows[own].astype(np.uint32), docs[own], starts[own].astype(np.uint32), lengths[own].astype(np.uint8), at[own].astype(np.uint8), texts[_ranges(where[own], lengths[own])]))
             ids.append(int(b))
-            parts.append(part)
-            told.append(False)
+            kinds.append(PIECES)
         if len(gone):
-            blobs.append(_pack(*(x.astype(np.uint32) for x in merged(rows[gone], starts[gone], starts[gone] + lengths[gone]))))
+            blobs.append(_pack(*(x.astype(np.uint32) for x in merged(rows[gone], starts[gone], starts[gone] + lengths[gone] - WINDOW + 1))))
             ids.append(int(part) % (1 << more))
-            parts.append(part)
-            told.append(True)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(parts, pa.int32()), pa.array(told, pa.bool_()), pa.array(blobs, pa.binary())], names=["bucket", "part", "marked", "blob"])
+            kinds.append(MARKS)
+        if len(twins):
+            blobs.append(_pack(*(x.astype(np.uint32) for x in (rows[twins], starts[twins], rows[of], starts[of], lengths[of] - WINDOW + 1))))
+            ids.append(int(part) % (1 << more))
+            kinds.append(TWINS)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([part] * len(ids), pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "part", "kind", "blob"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, part = 0, -1
         for batch, counts in by_part(batches, lambda p: Known(known, p, bits)):
             own = _column(batch, "part")[0].as_py()
-            if held and (own != part or size > FLUSH_BYTES):
+            if held and own != part:
                 yield flush(part, held)
                 held, size = [], 0
             part, batch = own, taking_part(batch)
@@ -332,10 +420,13 @@ def marks(staged: DataFrame, representatives: str) -> str:
                 rid, docs = _column(batch, "rid").to_numpy() & ((1 << 33) - 1), _column(batch, "doc_id").to_numpy()
                 hot = often[shared] > HOT_ROWS
                 whole = ~hot
-                if whole.any():
-                    r, s, n = row[whole], start[whole], length[whole]
-                    held.append((rid[r], docs[r], s - offsets[r], n, at[whole] - s, hashes[whole], data[_ranges(s, n)]))
+                for k in _slices(length[whole], FLUSH_BYTES // 2):  # texts of short periods have many times their bytes in pieces
+                    r, s, n = row[whole][k], start[whole][k], length[whole][k]
+                    held.append((rid[r], docs[r], s - offsets[r], n, at[whole][k] - s, hashes[whole][k], data[_ranges(s, n)]))
                     size += int(n.sum())
+                    if size > FLUSH_BYTES:
+                        yield flush(part, held)
+                        held, size = [], 0
                 for k in _slices(length[hot] - WINDOW + 1, FLUSH_BYTES // WINDOW):
                     r, s, n = row[hot][k], start[hot][k], length[hot][k] - WINDOW + 1
                     r, s, a = np.repeat(r, n), _ranges(s, n), np.repeat(at[hot][k], n)
@@ -345,31 +436,30 @@ def marks(staged: DataFrame, representatives: str) -> str:
             yield flush(part, held)
 
     def find(table: pa.Table) -> pa.Table:
-        out_parts, out_blobs, told, held = [], [], table["marked"].to_pylist(), []
-        for part, marked, blob in zip(table["part"].to_pylist(), told, table["blob"].to_pylist()):
-            if marked:
-                out_parts.append(part)
-                out_blobs.append(blob)
-            else:
+        out, held = [], []
+        for part, kind, blob in zip(table["part"].to_pylist(), table["kind"].to_pylist(), table["blob"].to_pylist()):
+            if kind == PIECES:
                 held.append((part, *_unpack(blob)))
+            else:
+                out.append((part, kind, blob))
         if held:
             parts = np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in held])
             rows, docs, starts, lengths, at, texts = (np.concatenate([x[k] for x in held]) for k in range(1, 7))
+            held.clear()
             lengths, starts = lengths.astype(np.int64), starts.astype(np.int64)
-            piece, lo, hi = duplicated(texts, np.cumsum(lengths) - lengths, lengths, at.astype(np.int64), docs)
-            order = np.argsort(parts[piece], kind="stable")
-            piece, lo, hi = piece[order], lo[order], hi[order]
-            found = parts[piece]
-            for part in np.unique(found):
-                a, b = np.searchsorted(found, part, "left"), np.searchsorted(found, part, "right")
-                own = piece[a:b]
-                out_parts.append(int(part))
-                out_blobs.append(_pack(*(x.astype(np.uint32) for x in merged(rows[own], starts[own] + lo[a:b], starts[own] + hi[a:b]))))
-        return pa.table({"part": pa.array(out_parts, pa.int32()), "blob": pa.array(out_blobs, pa.binary())})
-
-    sent = staged.select("rid", "part", "doc_id", "text").mapInArrow(send, "bucket int, part int, marked boolean, blob binary")
+            for piece, lo, hi in repeats(texts, np.cumsum(lengths) - lengths, lengths, at.astype(np.int64), docs):
+                order = np.argsort(parts[piece], kind="stable")
+                piece, lo, hi = piece[order], lo[order], hi[order] - WINDOW + 1
+                found = parts[piece]
+                for part in np.unique(found):
+                    a, b = np.searchsorted(found, part, "left"), np.searchsorted(found, part, "right")
+                    own = piece[a:b]
+                    out.append((int(part), MARKS, _pack(*(x.astype(np.uint32) for x in merged(rows[own], starts[own] + lo[a:b], starts[own] + hi[a:b])))))
+        return pa.table({name: pa.array([x[k] for x in out], kind) for k, (name, kind) in enumerate((("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())))})
+
+    sent = staged.select("rid", "part", "doc_id", "text").mapInArrow(send, "bucket int, part int, kind int, blob binary")
     path = scratch(spark, "suffix-marks")
-    sent.groupBy("bucket").applyInArrow(find, "part int, blob binary").repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
+    sent.groupBy("bucket").applyInArrow(find, "part int, kind int, blob binary").repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
     return path
 
 
@@ -396,9 +486,12 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     def open_part(part: int):
         found = side(folder, part)
-        blobs = [_unpack(b) for b in found["blob"].to_pylist()] if found is not None else []
-        row, start, end = (np.concatenate([b[k] for b in blobs]).astype(np.int64) if blobs else np.zeros(0, np.int64) for k in range(3))
-        return merged(row, start, end), _rows_of(representatives, part)
+        told = list(zip(found["kind"].to_pylist(), found["blob"].to_pylist())) if found is not None else []
+        blobs = [[np.zeros(0, np.int64)] * 3, *(_unpack(b) for kind, b in told if kind == MARKS)]
+        marked = merged(*(np.concatenate([b[k] for b in blobs]).astype(np.int64) for k in range(3)))
+        blobs = [marked, *(twinned(*marked, *(x.astype(np.int64) for x in _unpack(b))) for kind, b in told if kind == TWINS)]
+        row, start, end = (np.concatenate([b[k] for b in blobs]) for k in range(3))
+        return merged(row, start, end + WINDOW - 1), _rows_of(representatives, part)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ((row, start, end), own) in by_part(batches, open_part):

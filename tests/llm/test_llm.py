@@ -520,6 +520,55 @@ def test_suffix_one_anchor_in_many_surroundings():
     assert seconds[32_000] < 2
 
 
+def test_suffix_short_periods(spark, monkeypatch):
+    """A piece that texts repeat within themselves is sent once a flush: no bucket gets more bytes than it sorts at once."""
+    sort = suffix.duplicated
+
+    def bounded(data, *rest):
+        assert len(data) <= 2 << 20
+        return sort(data, *rest)
+
+    monkeypatch.setattr(suffix, "duplicated", bounded)
+    rows = [(3, "abhtm " + "gtm " * 40_000 + "end"), (1, "gtm " * 60_000 + "x" + "the " * 10_000), (2, "a" * 30_000), (4, "b" + "a" * 20_000 + "the " * 9_000), (3, "gtm " * 30_000 + "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.remove(frame).collect()), key=str)
+    assert got == brute_suffix(rows)
+
+
+def test_suffix_twins_and_rounds(spark, docs, real, monkeypatch):
+    """Repeats within a text, flushes and sorts of a few bytes, windows in rounds: the result is the same."""
+    rng = random.Random(11)
+    words = ["the shared phrase of thirty bytes ", "gtm ", "a", "other words between them ", "en theaeaen the "]
+    rows = [(rng.randrange(40), "".join(rng.choice(words) * rng.choice((1, 1, 2, 30)) + rng.choice(("", "xyz"[rng.randrange(3) :])) for _ in range(rng.randint(1, 9)))) for _ in range(60)]
+    family = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for sorted_, flushed, hot in ((300, 2_000, 20_000), (1_000, 1 << 20, 20_000), (300, 5_000, 3)):
+        monkeypatch.setattr(suffix, "SORT_BYTES", sorted_)
+        monkeypatch.setattr(suffix, "FLUSH_BYTES", flushed)
+        monkeypatch.setattr(suffix, "HOT_ROWS", hot)
+        for frame in (family, docs, real) if hot == 3 else (family,):
+            got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.remove(frame).collect()), key=str)
+            assert got == brute_suffix(pairs(frame))
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_suffix_windows_by_hash(monkeypatch, collide):
+    """Pieces of one anchor beyond SORT_BYTES give what sorting them at once gives, also where hashes collide."""
+    rng = np.random.default_rng(5)
+    n = 400
+    data = rng.integers(97, 99, n * 76, dtype=np.uint8).reshape(n, 76)
+    data[:, 6:70] = data[0, 6:70]
+    data[::3, 30:32] = 122
+    start, length, doc = np.arange(n) * 76, np.full(n, 76), rng.integers(0, 90, n)
+    covered = lambda found: {(p, k) for p, a, b in found for k in range(a, b)}
+    whole = covered(zip(*(x.tolist() for x in suffix.duplicated(data.ravel(), start, length, np.full(n, 40), doc))))
+    monkeypatch.setattr(suffix, "SORT_BYTES", 2_000)
+    if collide:
+        monkeypatch.setattr(suffix, "mix64", lambda x: x % np.uint64(50))
+    assert whole and whole == covered(t for x in suffix.by_windows(data.ravel(), start, length, doc) for t in zip(*(y.tolist() for y in x)))
+    if not collide:
+        assert whole == covered(t for x in suffix.repeats(data.ravel(), start, length, np.full(n, 40), doc) for t in zip(*(y.tolist() for y in x)))
+
+
 def test_suffix_sort():
     rng = random.Random(3)
     data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(3000)), np.uint8)
