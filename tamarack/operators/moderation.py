@@ -7,7 +7,7 @@ masks and flags cost no shuffle either. Works on batch and streaming frames alik
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,7 +55,7 @@ def _checked(text: str | None, strict: bool) -> str | None:
     return text
 
 
-def _hits(scanner: Scanner, texts: list[str | None], strict: bool) -> pa.Array:
+def _hits(scanner: Scanner, texts: Iterable[str | None], strict: bool) -> pa.Array:
     found, offsets = [], [0]
     for text in texts:
         found += scanner.detect(_checked(text, strict))
@@ -70,7 +70,7 @@ def hits(text: Column, lexicon: Lexicon, config: Config = Config()) -> Column:
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = _scanner(lexicon, config)
         for column in columns:
-            yield _hits(scanner, column.to_pylist(), config.strict)
+            yield _hits(scanner, (x.as_py() for x in column), config.strict)
 
     return F.arrow_udf(run, HITS)(text)
 
@@ -81,7 +81,7 @@ def flagged(text: Column, lexicon: Lexicon, config: Config = Config()) -> Column
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = _scanner(lexicon, config)
         for column in columns:
-            yield pa.array([scanner.flagged(_checked(x, config.strict)) for x in column.to_pylist()], pa.bool_())
+            yield pa.array([scanner.flagged(_checked(x.as_py(), config.strict)) for x in column], pa.bool_())
 
     return F.arrow_udf(run, "boolean")(text)
 

@@ -1,9 +1,14 @@
 """Queries on texts and sizes that the small tables don't hold."""
 
+import random
+
 import duckdb
 import pytest
 
 import __spark_entry__
+from tamarack.lexicon import load
+from tamarack.plans.config import Config
+from tamarack.plans.scanner import WORDY, Scanner
 
 
 def _agree(spark, tmp_path, name, texts):
@@ -19,3 +24,35 @@ def _agree(spark, tmp_path, name, texts):
 def test_phrases_in_their_own_words(spark, tmp_path):
     ours, told = _agree(spark, tmp_path, "phrase_context_hits", ["see thea nd go", "See The and go", "tot he end. oft he", "of the x, 0f the", "of the thea nd", "run to the"])
     assert ours == told and len(ours) == 4
+
+
+def _forms(n: int) -> list[str]:
+    """Terms of the lexicon with letters taken, changed and put in, and signs around them; and plain words."""
+    rng, lexicon = random.Random(1), load()
+    terms = [x for w in lexicon.words for x in (w.word, *w.normalized, *w.aliases)] + [x for p in lexicon.phrases for x in p.phrase.split()]
+    letters, out = "abcdefghijklmnopqrstuvwxyzhhaeiouéèçüñß", set()
+    while len(out) < n:
+        word = list(rng.choice(terms)) if rng.random() < 0.7 else rng.choices(letters, k=rng.randint(1, 12))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(word))
+            word[at : at + rng.randint(0, 1)] = rng.choices((*letters, "0", "$", "'", "-"), k=rng.randint(0, 1))
+        word = rng.choice(("", "", "(", "ab")) + "".join(word) + rng.choice(("", "", ".", ",", "!!", "***", "&&&", "$", "s"))
+        out.add(rng.choice((str, str.upper, str.title))(word))
+    return sorted(x for x in out if x and not set(x) & set(" \t\n"))
+
+
+@pytest.mark.parametrize("config", [{}, {"threshold": 0.7}, {"phrases": False, "transliteration": False}, {"whitelist": ("idiots", "crap"), "min_severity": "high"}])
+def test_sieve_passes_no_word_that_can_hit(config):
+    scanner, forms_ = Scanner(load(), Config(**config)), _forms(6000)
+    passed = [v for k in range(0, len(forms_), 50) for v in scanner.sieve.passed(forms_[k : k + 50])]
+    assert len(passed) > 500 and all(scanner._kind(v) == WORDY for v in passed)
+
+
+def test_new_words_are_not_classified_one_by_one():
+    """Words seen once, which no memo holds, and words that begin a phrase that isn't there, take no verdicts and no memory."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices(("on", "re", "queux", "être", "an", "hou", "tion"), k=rng.randint(4, 6))) + rng.choice(("", ",", "***")) for _ in range(4000)]
+    scanner = Scanner(load())
+    assert scanner.detect(" was ".join(words)) == []
+    assert len(scanner.memo.new) < 200 and len(scanner.kinds.new) > 2000
+    assert [h.matched for h in scanner.detect(" was ".join(words) + " was (te) of, space")] == ["waste of space"]
