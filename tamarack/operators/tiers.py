@@ -185,15 +185,24 @@ def phrase_hits(df: DataFrame, tables: Tables, key: str = "doc_id", text: str =
     starts = sorted({k[:n] for k, *_ in tables.phrase_rows for n in range(1, len(k) + 1)})
     widths = sorted({row[-1] for row in tables.phrase_rows})
     rows = df.select(key, native.words(F.lower(text)).alias("_w"))
-    windows = F.flatten(F.array(*(_windows(F.col("_w"), n, starts) for n in widths)))
+    windows = native.let(_likely(F.col("_w"), starts), lambda likely: F.flatten(F.array(*(_windows(F.col("_w"), likely, n) for n in widths))))
     found = rows.select(key, F.explode(windows).alias("_x")).select(key, F.col("_x.pos").alias("pos"), F.col("_x.phrase").alias("phrase"))
     keyed = found.withColumn("_key", native.normalize(F.col("phrase")))
     return keyed.join(tables.phrases, F.col("_key") == F.col("key")).where("passes").select(key, "pos", *_ENTRY, *_hit("phrase", 1.0))
 
 
-def _windows(words: Column, n: int, starts: list[str]) -> Column:
+def _likely(words: Column, starts: list[str]) -> Column:
+    """Places of the words that may begin a phrase; looked for once for all widths."""
     one = {c: to for c, to in T.SINGLES.items() if len(to) == 1 and c.isalnum()}
     plain = lambda w: F.translate(w, "".join(one), "".join(one.values()))
-    places = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("w"), plain(w).alias("plain")))
-    likely = F.filter(places, lambda p: (p["pos"] <= F.size(words) - n) & (p["plain"].isin(starts) | p["plain"].rlike(r"[^a-z]|ph|vv|(.)\1\1") | F.contains(p["w"], F.lit("13"))))
-    return F.transform(likely, lambda p: F.struct(p["pos"].alias("pos"), F.array_join(F.slice(words, p["pos"] + 1, F.lit(n)), " ").alias("phrase")))
+    may = lambda w: w.isin(starts) | (w.rlike(_ODD) & (plain(w).isin(starts) | plain(w).rlike(r"[^a-z]|ph|vv|(.)\1\1") | F.contains(w, F.lit("13"))))
+    return F.filter(F.transform(words, lambda w, i: F.when(may(w), i)), lambda i: i.isNotNull())
+
+
+#: Words that translating, decoding and collapsing may change; all of those that aren't letters only.
+_ODD = r"[^a-z]|ph|vv|([a-z])\1\1"
+
+
+def _windows(words: Column, likely: Column, n: int) -> Column:
+    fits = F.filter(likely, lambda i: i <= F.size(words) - n)
+    return F.transform(fits, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("phrase")))

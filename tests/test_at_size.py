@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__
 from tamarack.lexicon import load
+from tamarack.operators import tiers
 from tamarack.plans.config import Config
 from tamarack.plans.scanner import WORDY, Scanner
 
@@ -56,3 +57,12 @@ def test_new_words_are_not_classified_one_by_one():
     assert scanner.detect(" was ".join(words)) == []
     assert len(scanner.memo.new) < 200 and len(scanner.kinds.new) > 2000
     assert [h.matched for h in scanner.detect(" was ".join(words) + " was (te) of, space")] == ["waste of space"]
+
+
+def test_phrase_beginnings_are_looked_for_once_for_all_widths(spark):
+    """The regular expressions over every word, the dearest part of dedupe_spans and phrase_hits."""
+    docs = spark.createDataFrame([(1, "go to hell, shut 1t up; sshhut up waste of space phut")], "doc_id long, text string")
+    found = tiers.phrase_hits(docs, tiers.Tables(spark, load()))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("ph|vv|(.)") == 1
+    assert sorted((r.pos, r.matched) for r in found.collect()) == [(0, "go to hell"), (8, "waste of space")]
