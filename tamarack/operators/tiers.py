@@ -80,6 +80,13 @@ def not_exempt(found: DataFrame, tables: Tables) -> DataFrame:
     return found.join(exempt, F.col("value") == F.col("_x"), "left_anti")
 
 
+def _fixed(found: DataFrame) -> DataFrame:
+    """found, with its forms behind an expression that Spark takes for indeterminate (it is never anything but the form):
+    joins and conditions of one tier aren't pushed below the reduction to distinct forms, where they would be worked out
+    for every occurrence, and as all tiers read the same forms, they are made once."""
+    return found.select(*(F.when(F.monotonically_increasing_id() >= 0, F.col(c)).alias(c) if c == "value" else F.col(c) for c in found.columns))
+
+
 def _spelled(found: DataFrame) -> DataFrame:
     """found with _all, the spellings of each form; the fold, a Python function, is a column of its own. Explode _all by
     an outer generator: of an inner one Spark infers a filter on _all, pushes it below the reduction to distinct forms,
@@ -156,7 +163,7 @@ def fuzzy(found: DataFrame, tables: Tables) -> DataFrame:
 def cascade(found: DataFrame, tables: Tables) -> DataFrame:
     """Each form's verdict: of the tiers that hit it, the first. Tiers run once each, on all forms: those that an
     earlier tier has are few, and leaving them out by anti-joins would run the earlier tiers again for every later one."""
-    left = not_safe(found, tables)
+    left = not_safe(_fixed(found), tables)
     rest = not_exempt(left, tables)
     later = not_stopped(rest, tables)
     steps = [(exact, left), (normalized, rest), *([(transliterated, later)] if tables.config.transliteration else []), (partial, later), *([(fuzzy, later)] if tables.config.fuzzy else [])]

@@ -74,3 +74,11 @@ def test_ngram_profile_sends_each_place_once(spark, tmp_path):
     assert ours == told and [r[0] for r in ours] == [2, 3, 4]
     plan = __spark_entry__.queries()["ngram_profile"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_tiers_work_on_distinct_forms(spark):
+    """No tier's condition is worked out for every occurrence."""
+    found = __spark_entry__.queries()["form_verdicts"](spark, "/root/testdata/sf0.001")
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    words = [k for k, line in enumerate(lines) if "Generate posexplode(regexp_extract_all" in line]
+    assert words and not any("length(lower(" in lines[k - 1] or "LeftAnti" in lines[k - j] for k in words for j in (1, 2, 3))
